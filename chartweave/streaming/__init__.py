@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+The inputs are bounded tables and a "stream" is one stay's ordered sequence of
+events, so there is no unbounded source, watermark or state to manage.
+"""
