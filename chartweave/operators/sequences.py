@@ -47,9 +47,10 @@ _NO_TIME = float("inf")
 #   state      deciding label state of the stay
 #   chunk      number of the range, 0 for ordinary stays
 #   chunks     ranges of the stay
+#   start      tokens of the stay before this row
 #   n_events   tokens of the whole stay
 #   events     array of (token, event_time)
-SEQUENCE_COLUMNS = (STAY_ID, "state", "chunk", "chunks", "n_events", "events")
+SEQUENCE_COLUMNS = (STAY_ID, "state", "chunk", "chunks", "start", "n_events", "events")
 
 
 @dataclass(frozen=True)
@@ -204,7 +205,13 @@ def ordinary_sequences(facts: DataFrame, with_gaps: bool, fields: int) -> DataFr
         F.lit(1).alias("chunks"),
         events.alias("events"),
     ).select(
-        STAY_ID, "state", "chunk", "chunks", F.size("events").cast("long").alias("n_events"), "events"
+        STAY_ID,
+        "state",
+        "chunk",
+        "chunks",
+        F.lit(0).cast("bigint").alias("start"),
+        F.size("events").cast("bigint").alias("n_events"),
+        "events",
     )
 
 
@@ -256,6 +263,7 @@ def hot_sequences(
         "carried",
         "chunk",
         F.count("*").over(stay).cast("int").alias("chunks"),
+        F.coalesce(F.sum(F.col("rows") + gaps).over(before), F.lit(0)).alias("earlier"),
         F.sum(F.col("rows") + gaps).over(stay).alias("dynamic_events"),
     )
 
@@ -292,6 +300,7 @@ def hot_sequences(
         deciding_state(F.col("mask"), fields).alias("state"),
         F.coalesce("chunk", F.lit(0)).alias("chunk"),
         F.coalesce("chunks", F.lit(1)).alias("chunks"),
+        F.when(F.col("chunk") > 0, F.col("earlier") + prefix).otherwise(F.lit(0)).alias("start"),
         (F.coalesce("dynamic_events", F.lit(0)) + prefix).alias("n_events"),
         events.alias("events"),
     )

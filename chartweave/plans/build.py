@@ -20,6 +20,10 @@ from chartweave.operators.tables import (
 )
 
 
+# Metadata of a stream that is one range of a longer one.
+RANGE_KEYS = ("chunk", "chunks", "start")
+
+
 @dataclass(frozen=True)
 class StreamBuild:
     """Per-stay sequences and the three results that derive from them."""
@@ -53,10 +57,7 @@ def streams_from_sequences(kept: DataFrame, representation: str) -> DataFrame:
     """
     no_metadata = F.create_map().cast("map<string,string>")
     range_metadata = F.create_map(
-        F.lit("chunk"),
-        F.col("chunk").cast("string"),
-        F.lit("chunks"),
-        F.col("chunks").cast("string"),
+        *[part for c in RANGE_KEYS for part in (F.lit(c), F.col(c).cast("string"))]
     )
     return kept.select(
         STAY_ID,
@@ -68,18 +69,15 @@ def streams_from_sequences(kept: DataFrame, representation: str) -> DataFrame:
 
 
 def stream_positions(streams: DataFrame) -> DataFrame:
-    """Long form ``(stay, chunk, position, token, event_time)`` of streams."""
-    pairs = F.arrays_zip("events", "event_times")
+    """Long form ``(stay, position, token, event_time)``; positions start at 0."""
+    start = F.try_element_at("metadata", F.lit("start")).cast("bigint")
     return streams.select(
         STAY_ID,
-        F.coalesce(F.try_element_at("metadata", F.lit("chunk")).cast("int"), F.lit(0)).alias(
-            "chunk"
-        ),
-        F.posexplode(pairs).alias("position", "pair"),
+        F.coalesce(start, F.lit(0)).alias("start"),
+        F.posexplode(F.arrays_zip("events", "event_times")).alias("offset", "pair"),
     ).select(
         STAY_ID,
-        "chunk",
-        "position",
+        (F.col("start") + F.col("offset")).alias("position"),
         F.col("pair.events").alias("token"),
         F.col("pair.event_times").alias("event_time"),
     )
