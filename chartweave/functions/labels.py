@@ -27,8 +27,9 @@ def outcome_label(
         return F.lit(None).cast("int")
     if isinstance(data_type, T.NumericType):
         return F.when(value == 0, F.lit(0)).when(value == 1, F.lit(1))
-    folded = fold_text(value)
-    return F.when(folded.isin(*negative), F.lit(0)).when(folded.isin(*positive), F.lit(1))
+    words = [(word, 0) for word in negative] + [(word, 1) for word in positive]
+    labels = F.create_map(*[F.lit(part) for pair in words for part in pair])
+    return F.try_element_at(labels, fold_text(value))
 
 
 def label_mask(labels: Sequence[tuple[int, Column]]) -> Column:
@@ -40,8 +41,7 @@ def label_mask(labels: Sequence[tuple[int, Column]]) -> Column:
     """
     mask = F.lit(0)
     for rank, label in labels:
-        bit = F.when(label == 0, 1 << (2 * rank)).when(label == 1, 2 << (2 * rank))
-        mask = mask.bitwiseOR(F.coalesce(bit, F.lit(0)))
+        mask = mask.bitwiseOR(F.coalesce((label + 1) * F.lit(4**rank), F.lit(0)))
     return mask
 
 

@@ -10,7 +10,7 @@ from chartweave.contract import GAP_BUCKETS, QUARTILE_LABELS
 from chartweave.functions.text import build_token
 
 # A plain decimal number. Spark's own cast also takes "1.0d" and "5f".
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 
 
 def finite_number(value: Column, data_type: T.DataType | None = None) -> Column:
@@ -21,13 +21,14 @@ def finite_number(value: Column, data_type: T.DataType | None = None) -> Column:
     """
     if isinstance(data_type, T.BooleanType):
         return F.lit(None).cast("double")
+    infinity = F.lit(float("inf"))
     if isinstance(data_type, T.NumericType):
         number = value.cast("double")
-    else:
-        text = F.btrim(value.cast("string"), F.lit(" \t\n\x0b\x0c\r"))
-        number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    infinity = F.lit(float("inf"))
-    return F.when((number < infinity) & (number > -infinity), number)
+        return F.when((number < infinity) & (number > -infinity), number)
+    text = value.cast("string")
+    # A literal such as 1e999 is a number, but not a finite one.
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.nullif(F.nullif(number, infinity), -infinity)
 
 
 def event_time(offset: Column, data_type: T.DataType | None = None) -> Column:
@@ -35,8 +36,7 @@ def event_time(offset: Column, data_type: T.DataType | None = None) -> Column:
 
     Negative zero becomes zero, so that the two compare as one instant.
     """
-    minutes = finite_number(offset, data_type)
-    return F.when(minutes == 0, F.lit(0.0)).otherwise(minutes)
+    return finite_number(offset, data_type) + F.lit(0.0)
 
 
 def quartile_bin(value: Column, p25: Column, p50: Column, p75: Column) -> Column:

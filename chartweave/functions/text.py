@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,13 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# A whole text that means "not known".
+_UNKNOWN = r"\A(" + "|".join(re.escape(text) for text in UNKNOWN_TEXTS) + r")\z"
+
+# What counts as a number in an age: digits may be grouped by "_".
+_DIGITS = r"\d+(_\d+)*"
+_AGE_NUMBER = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})(e[+-]?{_DIGITS})?$"
+
 
 def strip_text(text: Column) -> Column:
     """Remove leading and trailing white space, Unicode white space included."""
@@ -29,7 +37,7 @@ def fold_text(text: Column) -> Column:
     ``lower`` leaves the long s alone although it folds to "s"; it is the only
     such letter that the word lists could contain.
     """
-    return F.translate(F.lower(strip_text(text)), "\u017f", "s")
+    return F.replace(F.lower(strip_text(text)), F.lit("\u017f"), F.lit("s"))
 
 
 def normalize_text(text: Column, preserve_unknown: bool = False) -> Column:
@@ -37,12 +45,15 @@ def normalize_text(text: Column, preserve_unknown: bool = False) -> Column:
 
     A text that means "not known" gives null, or ``UNKNOWN`` when
     ``preserve_unknown`` is set; a text without letters or digits gives null.
+
+    It is one chain in which every step is used once. Branches that repeat the
+    text would make Spark evaluate the whole chain once per mention.
     """
-    folded = fold_text(text)
-    joined = F.regexp_replace(F.upper(folded), "[^A-Z0-9]+", "_")
-    part = F.nullif(F.btrim(joined, F.lit("_")), F.lit(""))
-    unknown = F.lit("UNKNOWN") if preserve_unknown else F.lit(None).cast("string")
-    return F.when(folded.isin(*UNKNOWN_TEXTS), unknown).otherwise(part)
+    known = F.regexp_replace(
+        fold_text(text), _UNKNOWN, "unknown" if preserve_unknown else ""
+    )
+    joined = F.regexp_replace(F.upper(known), "[^A-Z0-9]+", "_")
+    return F.nullif(F.btrim(joined, F.lit("_")), F.lit(""))
 
 
 def normalize_name(name: str) -> str | None:
@@ -53,34 +64,40 @@ def normalize_name(name: str) -> str | None:
     return "_".join(re.findall("[A-Z0-9]+", folded.upper())) or None
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Apply ``use`` to a value that is costly and mentioned more than once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def age_bin(age: Column) -> Column:
     """Ten-year bin such as ``60_70``; 90 and above, and "> 89", give ``90_PLUS``."""
-    folded = fold_text(age)
-    digits = r"\d+(_\d+)*"
-    number = rf"^[+-]?({digits}\.?({digits})?|\.{digits})(e[+-]?{digits})?$"
-    years = (
-        F.when(folded.rlike(number), F.replace(folded, F.lit("_"), F.lit("")).try_cast("double"))
-        .when(folded.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf")))
-    )
-    decade = (F.floor(years / 10) * 10).cast("int")
-    return (
-        F.when(folded.startswith(">") & folded.contains("89"), F.lit("90_PLUS"))
-        .when(years < 0, F.lit(None).cast("string"))
-        .when(years >= 90, F.lit("90_PLUS"))
-        .when(
-            years.isNotNull(),
-            F.concat_ws("_", decade.cast("string"), (decade + 10).cast("string")),
+
+    def years(folded: Column) -> Column:
+        return (
+            F.when(folded.startswith(">") & folded.contains("89"), F.lit(90.0))
+            .when(
+                folded.rlike(_AGE_NUMBER),
+                F.replace(folded, F.lit("_"), F.lit("")).try_cast("double"),
+            )
+            .when(folded.rlike(r"^\+?inf(inity)?$"), F.lit(90.0))
         )
-    )
+
+    def label(years: Column) -> Column:
+        decade = (F.floor(years / 10) * 10).cast("int")
+        return F.when(years >= 90, F.lit("90_PLUS")).when(
+            years >= 0, F.concat_ws("_", decade.cast("string"), (decade + 10).cast("string"))
+        )
+
+    return once(once(fold_text(age), years), label)
 
 
 def gender_part(gender: Column) -> Column:
     """``F``, ``M`` or, for any other usable text, ``UNKNOWN``."""
-    part = normalize_text(gender, preserve_unknown=True)
-    return (
-        F.when(part.isin("F", "FEMALE"), F.lit("F"))
+    return once(
+        normalize_text(gender, preserve_unknown=True),
+        lambda part: F.when(part.isin("F", "FEMALE"), F.lit("F"))
         .when(part.isin("M", "MALE"), F.lit("M"))
-        .when(part.isNotNull(), F.lit("UNKNOWN"))
+        .when(part.isNotNull(), F.lit("UNKNOWN")),
     )
 
 

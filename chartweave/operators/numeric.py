@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,20 +25,21 @@ from chartweave.operators.tables import (
     column_type,
     empty_like,
     require_columns,
+    source_rows,
     stay_key,
     union_all,
 )
 
-# Rows of one measurement that a single task may rank; above it the fit first
-# narrows every quartile to a small interval.
-MAX_RANKED_ROWS = 5_000_000
+# Values of one measurement that a single task may sort (24 MB of doubles); above
+# it the fit first narrows every quartile to a small interval.
+MAX_RANKED_ROWS = 3_000_000
 # Rows of the threshold table that may be broadcast (about 100 bytes each).
 MAX_BROADCAST_MEASUREMENTS = 100_000
 # Copies of a threshold row when the table is too large to broadcast.
 THRESHOLD_SALTS = 64
 # Half width, in probability, of the interval that the sketch proposes.
 _BRACKET = 0.001
-_SKETCH_ACCURACY = 10_000
+_SKETCH_ACCURACY = 2_000
 
 _EDGES = ("p25", "p50", "p75")
 
@@ -74,8 +77,12 @@ def lab_rows(tables: Tables) -> DataFrame | None:
     )
 
 
-def vital_rows(tables: Tables, table: str) -> DataFrame | None:
-    """Unpivot of one wide table: one row per stay, instant and measured column."""
+def vital_rows(tables: Tables, table: str, *, sparse: bool = False) -> DataFrame | None:
+    """Unpivot of one wide table: one row per stay, instant and measured column.
+
+    ``sparse`` leaves out unusable cells, but for the first cell of every row,
+    which keeps the stay.
+    """
     frame = tables.get(table)
     if frame is None:
         return None
@@ -89,7 +96,7 @@ def vital_rows(tables: Tables, table: str) -> DataFrame | None:
         else F.lit(None).cast("double")
     )
     cells = []
-    for column in columns:
+    for position, column in enumerate(columns):
         part = normalize_name(column)
         name = F.lit(None).cast("string") if part is None else build_token(VITAL_FAMILY, part)
         quoted = F.col("`" + column.replace("`", "``") + "`")
@@ -97,19 +104,23 @@ def vital_rows(tables: Tables, table: str) -> DataFrame | None:
             F.struct(
                 name.alias("measurement"),
                 finite_number(quoted, column_type(frame, column)).alias("value"),
+                F.lit(position == 0).alias("opens"),
             )
         )
-    return (
-        frame.where(stay_key().isNotNull())
-        .select(STAY_ID, minutes.alias("event_time"), F.inline(F.array(*cells)))
-        .select(STAY_ID, "measurement", "value", "event_time")
+    rows = frame.where(stay_key().isNotNull()).select(
+        STAY_ID, minutes.alias("event_time"), F.inline(F.array(*cells))
     )
+    if sparse:
+        usable = F.col("measurement").isNotNull() & F.col("value").isNotNull()
+        rows = rows.where(usable | F.col("opens"))
+    return rows.select(STAY_ID, "measurement", "value", "event_time")
 
 
-def measurement_rows(tables: Tables) -> DataFrame:
+def measurement_rows(tables: Tables, *, sparse: bool = False) -> DataFrame:
     """Every candidate value; null measurement or value marks an unusable one."""
     check_tables(tables)
-    rows = [lab_rows(tables), *(vital_rows(tables, table) for table in VITAL_TABLES)]
+    vitals = [vital_rows(tables, table, sparse=sparse) for table in VITAL_TABLES]
+    rows = [lab_rows(tables), *vitals]
     present = [frame for frame in rows if frame is not None]
     if not present:
         return empty_like(tables, "measurement string, value double, event_time double")
@@ -141,28 +152,18 @@ def _ranks(total: Column) -> list[tuple[Column, Column, Column]]:
 
 
 def _thresholds_by_rank(values: DataFrame) -> DataFrame:
-    """Exact edges when one task can rank the distinct values of a measurement.
-
-    The values shrink to counts first, hashed on measurement and value, so the
-    ranking window sees each distinct value once.
-    """
-    counts = values.groupBy("measurement", "value").agg(F.count("*").alias("copies"))
-    whole = Window.partitionBy("measurement")
-    running = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.select(
-        "measurement",
-        "value",
-        F.sum("copies").over(running).alias("last"),
-        (F.sum("copies").over(running) - F.col("copies")).alias("first"),
-        F.sum("copies").over(whole).alias("total"),
+    """Exact edges of measurements of checked size: sort the values, look up the ranks."""
+    ordered = values.groupBy("measurement").agg(
+        F.sort_array(F.collect_list("value")).alias("ordered")
     )
     picks = []
-    for edge, (lower, upper, fraction) in zip(_EDGES, _ranks(F.col("total"))):
-        for end, rank in (("lower", lower), ("upper", upper)):
-            inside = (F.col("first") <= rank) & (rank < F.col("last"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"{edge}_{end}"))
-        picks.append(F.max(fraction).alias(f"{edge}_fraction"))
-    return placed.groupBy("measurement").agg(*picks).select("measurement", *_interpolated())
+    for edge, (lower, upper, fraction) in zip(_EDGES, _ranks(F.size("ordered"))):
+        picks += [
+            F.get("ordered", lower).alias(f"{edge}_lower"),
+            F.get("ordered", upper).alias(f"{edge}_upper"),
+            fraction.alias(f"{edge}_fraction"),
+        ]
+    return ordered.select("measurement", *picks).select("measurement", *_interpolated())
 
 
 def _interpolated() -> list[Column]:
@@ -283,8 +284,8 @@ def join_thresholds(rows: DataFrame, lookup: DataFrame, measurements: int) -> Da
 def fit_values(values: DataFrame, max_ranked_rows: int = MAX_RANKED_ROWS) -> DataFrame:
     """Quartile edges of a ``(measurement, value)`` table without nulls.
 
-    One small action measures the largest group and picks the way; both ways
-    are exact and interpolate linearly between neighbouring values.
+    One action measures the largest group and picks the way; both ways are exact
+    and interpolate linearly between neighbouring values.
     """
     sizes = values.groupBy("measurement").agg(F.count("*").alias("rows"))
     largest, measurements = sizes.agg(F.max("rows"), F.count("*")).first()
@@ -293,12 +294,34 @@ def fit_values(values: DataFrame, max_ranked_rows: int = MAX_RANKED_ROWS) -> Dat
     return _thresholds_by_interval(values, measurements)
 
 
-def fit_numeric_bins(tables: Tables, max_ranked_rows: int = MAX_RANKED_ROWS) -> DataFrame:
+def candidate_rows(tables: Tables, rows: Mapping[str, int]) -> int:
+    """How many values the numeric sources can supply at most."""
+    vitals = sum(
+        rows.get(table, 0) * len(vital_columns(tables[table]))
+        for table in VITAL_TABLES
+        if table in tables
+    )
+    return rows.get(LAB_SOURCE[0], 0) + vitals
+
+
+def fit_numeric_bins(
+    tables: Tables,
+    max_ranked_rows: int = MAX_RANKED_ROWS,
+    rows: Mapping[str, int] | None = None,
+) -> DataFrame:
     """Quartile thresholds per measurement: ``(measurement, p25, p50, p75)``.
 
     The fit looks at every usable row of every stay, before de-duplication.
+    ``rows`` are the counts of ``source_rows`` when the caller has them; if all
+    values together fit the sort, the groups need no measuring.
     """
-    return fit_values(_usable(measurement_rows(tables)), max_ranked_rows)
+    values = _usable(measurement_rows(tables))
+    if rows is None:
+        numeric = (LAB_SOURCE[0], *VITAL_TABLES)
+        rows = source_rows({name: tables[name] for name in numeric if name in tables})
+    if candidate_rows(tables, rows) <= max_ranked_rows:
+        return _thresholds_by_rank(values)
+    return fit_values(values, max_ranked_rows)
 
 
 def hold_thresholds(thresholds: DataFrame) -> tuple[DataFrame, int]:

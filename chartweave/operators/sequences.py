@@ -14,15 +14,15 @@ becomes a row of its own. Nothing is dropped, capped or sampled.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.contract import STAY_ID, TOKEN_SEPARATOR, VITAL_FAMILY, VITAL_TABLES
+from chartweave.contract import STAY_ID, VITAL_TABLES
 from chartweave.functions.labels import decided_label, deciding_state
 from chartweave.functions.numbers import gap_token
-from chartweave.functions.text import build_token, normalize_name
 from chartweave.operators.categorical import clinical_rows, static_events, static_rows
 from chartweave.operators.numeric import classify_measurements, measurement_rows, vital_columns
 from chartweave.operators.outcomes import LabelRules, label_masks
@@ -31,6 +31,7 @@ from chartweave.operators.tables import (
     ROW_ORDER,
     Tables,
     covered_by_events,
+    source_rows,
     stay_key,
     union_all,
 )
@@ -62,47 +63,52 @@ class HotStays:
     values: int
 
 
-def find_hot_stays(tables: Tables, max_row_events: int = MAX_ROW_EVENTS) -> HotStays | None:
+def values_per_row(tables: Tables) -> dict[str, int]:
+    """Source values that one row of each table with stay ids holds."""
+    return {
+        table: len(vital_columns(frame)) if table in VITAL_TABLES else 1
+        for table, frame in tables.items()
+        if STAY_ID in frame.columns
+    }
+
+
+def find_hot_stays(
+    tables: Tables,
+    max_row_events: int = MAX_ROW_EVENTS,
+    rows: Mapping[str, int] | None = None,
+) -> HotStays | None:
     """Stays with more source values than a row may hold, or None.
 
-    Reads the id columns only and counts map-side. At most (all values /
-    ``max_row_events``) stays can qualify, which bounds the list.
+    When all tables together hold no more than that, nothing needs counting.
+    Otherwise the id columns are read and counted map-side. At most (all values
+    / ``max_row_events``) stays can qualify, which bounds the list.
     """
+    values = values_per_row(tables)
+    rows = source_rows(tables) if rows is None else rows
+    if sum(rows.get(table, 0) * n for table, n in values.items()) <= max_row_events:
+        return None
     loads = union_all(
         [
-            frame.where(stay_key().isNotNull()).select(
-                STAY_ID,
-                F.lit(len(vital_columns(frame)) if table in VITAL_TABLES else 1).alias("n"),
-            )
-            for table, frame in tables.items()
-            if STAY_ID in frame.columns
+            tables[table].where(stay_key().isNotNull()).select(STAY_ID, F.lit(n).alias("n"))
+            for table, n in values.items()
         ]
     )
     hot = loads.groupBy(STAY_ID).agg(F.sum("n").alias("n")).where(F.col("n") > max_row_events)
-    count, values = hot.agg(F.count("*"), F.sum("n")).first()
+    count, total = hot.agg(F.count("*"), F.sum("n")).first()
     if not count:
         return None
-    return HotStays(write_through(hot.select(STAY_ID), "hot-stays"), count, values)
+    return HotStays(write_through(hot.select(STAY_ID), "hot-stays"), count, total)
 
 
 def event_rows(tables: Tables, thresholds: DataFrame, threshold_count: int) -> DataFrame:
     """``(stay, moment, token)`` of all clinical sources, one row per source value.
 
-    A null token only says that the stay exists. Of a wide row, empty cells are
-    left out but for the first column, which keeps the stay.
+    A null token only says that the stay exists.
     """
-    numeric = classify_measurements(measurement_rows(tables), thresholds, threshold_count)
-    keepers = [
-        build_token(VITAL_FAMILY, normalize_name(vital_columns(tables[table])[0]) or "")
-        for table in VITAL_TABLES
-        if table in tables and vital_columns(tables[table])
-    ]
-    kept = F.col("token").isNotNull() | F.col("measurement").isNull()
-    kept = kept | ~F.col("measurement").startswith(f"{VITAL_FAMILY}{TOKEN_SEPARATOR}")
-    for keeper in keepers:
-        kept = kept | (F.col("measurement") == keeper)
+    measurements = measurement_rows(tables, sparse=True)
+    numeric = classify_measurements(measurements, thresholds, threshold_count)
     sources = [frame.select(STAY_ID, "token", "event_time") for frame in clinical_rows(tables)]
-    sources.append(numeric.where(kept).select(STAY_ID, "token", "event_time"))
+    sources.append(numeric.select(STAY_ID, "token", "event_time"))
     return union_all(sources).select(
         STAY_ID, F.coalesce("event_time", F.lit(_NO_TIME)).alias("moment"), "token"
     )
@@ -315,6 +321,7 @@ def stay_sequences(
     with_static: bool,
     rules: LabelRules,
     max_row_events: int = MAX_ROW_EVENTS,
+    rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows of ``SEQUENCE_COLUMNS`` for every stay of every table."""
     facts = fact_rows(
@@ -323,7 +330,7 @@ def stay_sequences(
         context_rows(tables) if with_static else None,
     )
     fields = len(rules.fields)
-    hot = find_hot_stays(tables, max_row_events)
+    hot = find_hot_stays(tables, max_row_events, rows)
     if hot is None:
         return ordinary_sequences(facts, with_gaps, fields)
     ids = _small(hot.ids, hot.count)

@@ -17,6 +17,7 @@ from chartweave.operators.tables import (
     check_minimum,
     check_representation,
     check_tables,
+    source_rows,
 )
 
 
@@ -95,16 +96,18 @@ def plan_event_streams(
 ) -> StreamBuild:
     """Fit (unless thresholds are given) and describe the sequences.
 
-    Two small actions run here, because their results choose the plan: the fit,
-    whose table is counted before it may be broadcast, and the search for stays
+    A few small actions run here, because their results choose the plan: the
+    row counts of the tables; the fit, whose table is counted before it may be
+    broadcast; and, in tables large enough to have any, the search for stays
     that do not fit in a row.
     """
     check_tables(tables)
     check_representation(representation)
     check_minimum(min_events_per_stay)
     label_masks(tables, rules)  # fails early when there is no label field
+    rows = source_rows(tables)
     if thresholds is None:
-        thresholds = fit_numeric_bins(tables, max_ranked_rows)
+        thresholds = fit_numeric_bins(tables, max_ranked_rows, rows)
     held, count = hold_thresholds(thresholds)
     sequences = stay_sequences(
         tables,
@@ -114,6 +117,7 @@ def plan_event_streams(
         with_static=representation == "timegap_static",
         rules=rules,
         max_row_events=max_row_events,
+        rows=rows,
     )
     return StreamBuild(sequences, representation, min_events_per_stay)
 

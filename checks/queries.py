@@ -359,7 +359,7 @@ def streams_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streams_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = _orders(spark, sf_dir, "timegap", 5, max_row_events=30)
+    build = _orders(spark, sf_dir, "timegap", 5, max_row_events=60)
     return stream_positions(build.streams)
 
 
