@@ -39,7 +39,7 @@ def valid_token(token: Column) -> Column:
     return F.coalesce(token.rlike(rf"\A(?:{families})::(?s:.)+\z"), F.lit(False))
 
 
-def _broken(rules: Iterable[tuple[str, Column, Column]]) -> Column:
+def broken_rules(rules: Iterable[tuple[str, Column, Column]]) -> Column:
     """Array of ``(rule, detail)`` for the rules whose condition is not true."""
     entries = [
         F.when(
@@ -83,14 +83,14 @@ def stream_rules(
 
 def stream_violations(streams: DataFrame, min_events_per_stay: int = 1) -> DataFrame:
     """Broken stream rules, one row each."""
-    broken = _broken(stream_rules(streams, min_events_per_stay))
+    broken = broken_rules(stream_rules(streams, min_events_per_stay))
     return streams.select(STAY_ID, F.inline(broken))
 
 
 def token_violations(tokens: DataFrame) -> DataFrame:
     """Rows of a ``(stay, token)`` table whose token is malformed."""
     rules = [("token", valid_token(F.col("token")), F.col("token"))]
-    return tokens.select(STAY_ID, F.inline(_broken(rules)))
+    return tokens.select(STAY_ID, F.inline(broken_rules(rules)))
 
 
 def outcome_violations(outcomes: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def outcome_violations(outcomes: DataFrame) -> DataFrame:
         ("stay_id", valid_stay_id(stay, column_type(outcomes, STAY_ID)), stay),
         ("mortality", binary, label),
     ]
-    return outcomes.select(STAY_ID, F.inline(_broken(rules)))
+    return outcomes.select(STAY_ID, F.inline(broken_rules(rules)))
 
 
 def statistics_violations(statistics: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def statistics_violations(statistics: DataFrame) -> DataFrame:
             F.array_join(F.map_values(families).cast("array<string>"), ", ", "null"),
         ),
     ]
-    return statistics.select(F.inline(_broken(rules)))
+    return statistics.select(F.inline(broken_rules(rules)))
 
 
 def require_valid(violations: DataFrame, what: str) -> None:

@@ -36,8 +36,11 @@ from chartweave.operators.tables import (
     union_all,
 )
 
-# Source values of one stay that may be collected into one output row.
-MAX_ROW_EVENTS = 1_000_000
+# Source values of one stay that may be collected into one output row; a few
+# times what the busiest real stays have.
+MAX_ROW_EVENTS = 500_000
+# Events of one range of a stay that has more than that.
+RANGE_EVENTS = 100_000
 # Rows of a table about hot stays (ids, ranges) that may be broadcast.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -236,7 +239,8 @@ def hot_sequences(
     there on they are plain data. What crosses a range (the last time before
     it, its number, the length of the stay) comes from one summary row a range.
     """
-    ranges = max(2, math.ceil(2 * hot.values / max_row_events))
+    range_events = min(RANGE_EVENTS, max(1, max_row_events // 2))
+    ranges = max(2, math.ceil(hot.values / range_events))
     small_rows = ranges + hot.count
     events = facts.where(F.col("event").isNotNull()).select(STAY_ID, "event.*").distinct()
     ranged = write_through(

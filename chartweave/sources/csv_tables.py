@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,20 +91,29 @@ def _matches(column: Column, pattern: str) -> Column:
 def _typed(tables: dict[str, DataFrame], id_type: str) -> dict[str, DataFrame]:
     """Give the stay ids, and the label columns, the type that all their cells have.
 
-    One aggregation per table reads the id column and, where there are any, the
-    label columns. It also meets every row with too many fields.
+    One job over all tables reads the id columns and the label columns there
+    are, and returns one row per table. It also meets every row with too many
+    fields.
     """
-    facts: dict[str, dict[str, bool]] = {}
+    profiles = []
     for table, frame in tables.items():
-        labels = [c for t, c in OUTCOME_FIELDS if t == table and c in frame.columns]
-        checks = [_matches(F.col(STAY_ID), _WHOLE_NUMBER).alias(STAY_ID)]
-        checks += [_matches(F.col(c), _ANY_NUMBER).alias(c) for c in labels]
-        facts[table] = frame.agg(*checks).first().asDict()
-    whole = all(found[STAY_ID] for found in facts.values())
+        checks = [F.lit(STAY_ID), _matches(F.col(STAY_ID), _WHOLE_NUMBER)]
+        for owner, label in OUTCOME_FIELDS:
+            if owner == table and label in frame.columns:
+                checks += [F.lit(label), _matches(F.col(label), _ANY_NUMBER)]
+        profiles.append(
+            frame.agg(F.create_map(*checks).alias("numeric")).select(
+                F.lit(table).alias("table"), "numeric"
+            )
+        )
+    if not profiles:
+        return {}
+    found = {row["table"]: row["numeric"] for row in reduce(DataFrame.unionAll, profiles).collect()}
+    whole = all(numeric[STAY_ID] for numeric in found.values())
     stay_type = id_type if id_type != "auto" else ("bigint" if whole else "string")
     typed = {}
     for table, frame in tables.items():
-        types = {c: "double" for c, numeric in facts[table].items() if c != STAY_ID and numeric}
+        types = {c: "double" for c, numeric in found[table].items() if c != STAY_ID and numeric}
         types[STAY_ID] = stay_type
         typed[table] = _cast(frame, types)
     return typed

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.contract import STAY_ID
-from chartweave.operators.quality import require_valid, stream_rules, stream_violations
+from chartweave.operators.quality import broken_rules, stream_rules
 
 _REQUIRED = (STAY_ID, "events", "representation")
 _CORRUPT = "_corrupt"
+# Kinds of problem, per file, that an error message names.
+_REPORTED = 10
 
 
 def _stay_order() -> Column:
@@ -66,31 +68,41 @@ def streams_from_records(records: DataFrame) -> DataFrame:
 def read_event_streams_jsonl(
     spark: SparkSession, path: str, id_type: str = "bigint"
 ) -> DataFrame:
-    """Read streams and insist on every line; blank lines are skipped."""
+    """Read streams and insist on every line; blank lines are skipped.
+
+    One pass counts the lines that are no record or break a rule, per file; the
+    streams themselves are read lazily.
+    """
     schema = (
         f"{STAY_ID} {id_type}, events array<string>, representation string, "
-        f"event_times array<double>, metadata map<string,string>"
+        f"event_times array<double>, metadata map<string,string>, {_CORRUPT} string"
     )
     lines = (
         spark.read.text(path)
         .where(F.trim("value") != "")
         .select(
             F.col("_metadata.file_name").alias("file"),
-            F.from_json(
-                "value",
-                f"{schema}, {_CORRUPT} string",
-                {"columnNameOfCorruptRecord": _CORRUPT},
-            ).alias("record"),
+            F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("record"),
         )
     )
-    bad = lines.where(F.col(f"record.{_CORRUPT}").isNotNull())
-    broken = bad.groupBy("file").count().orderBy("file").limit(5).collect()
+    records = lines.select("file", "record.*")
+    rules = [("json", F.col(_CORRUPT).isNull(), F.lit(None))]
+    rules += [
+        (name, F.col(_CORRUPT).isNotNull() | holds, detail)
+        for name, holds, detail in stream_rules(records)
+    ]
+    broken = (
+        records.select("file", F.inline(broken_rules(rules)))
+        .groupBy("file", "rule")
+        .count()
+        .orderBy("file", "rule")
+        .limit(_REPORTED)
+        .collect()
+    )
     if broken:
-        places = ", ".join(f"{row['file']} ({row['count']})" for row in broken)
-        raise ValueError(f"invalid JSON lines in {path}: {places}")
-    streams = streams_from_records(lines.select("record.*"))
-    require_valid(stream_violations(streams), f"event streams in {path}")
-    return streams
+        places = ", ".join(f"{row['file']}: {row['rule']} ({row['count']})" for row in broken)
+        raise ValueError(f"invalid event streams in {path}: {places}")
+    return streams_from_records(records)
 
 
 def write_outcomes_csv(outcomes: DataFrame, path: str, *, ordered: bool = True) -> None:

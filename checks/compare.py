@@ -30,16 +30,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canonical(columns: list[str], rows: list[tuple]) -> list[tuple]:
-    """Rows with columns sorted by name and numbers in one form, sorted."""
+    """Rows with columns sorted by name, sorted; numbers must agree to the last digit."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
 
     def cell(value: object) -> object:
         if isinstance(value, bool) or value is None:
             return str(value)
         if isinstance(value, float):
-            return "nan" if math.isnan(value) else f"{value:.9g}"
-        if isinstance(value, int):
-            return f"{float(value):.9g}" if abs(value) < 2**31 else str(value)
+            return "nan" if math.isnan(value) else repr(value)
         return str(value)
 
     return sorted(tuple(cell(row[i]) for i in order) for row in rows)
