@@ -149,16 +149,18 @@ def context_rows(tables: Tables) -> DataFrame | None:
     return rows and rows.select(STAY_ID, F.struct("field", "token").alias("context"))
 
 
-def fact_rows(events: DataFrame, labels: DataFrame, context: DataFrame | None) -> DataFrame:
-    """One long table ``(stay, event, mask, context)``."""
+def about_rows(labels: DataFrame, context: DataFrame | None) -> DataFrame:
+    """``(stay, mask[, context])``: all that is known of a stay but its events."""
+    if context is None:
+        return labels
+    return labels.unionByName(context, allowMissingColumns=True)
+
+
+def fact_rows(events: DataFrame, about: DataFrame) -> DataFrame:
+    """One long table ``(stay, event, mask[, context])``."""
     event = F.when(F.col("token").isNotNull(), F.struct("moment", "token"))
-    parts = [events.select(STAY_ID, event.alias("event")), labels]
-    if context is not None:
-        parts.append(context)
-    facts = parts[0]
-    for part in parts[1:]:
-        facts = facts.unionByName(part, allowMissingColumns=True)
-    return facts
+    timed = events.select(STAY_ID, event.alias("event"))
+    return timed.unionByName(about, allowMissingColumns=True)
 
 
 def _timed(token: Column, moment: Column) -> Column:
@@ -229,7 +231,12 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
 
 
 def hot_sequences(
-    facts: DataFrame, hot: HotStays, max_row_events: int, with_gaps: bool, fields: int
+    events: DataFrame,
+    about: DataFrame,
+    hot: HotStays,
+    max_row_events: int,
+    with_gaps: bool,
+    fields: int,
 ) -> DataFrame:
     """Sequences of hot stays, each split into ranges of ordered events.
 
@@ -242,9 +249,12 @@ def hot_sequences(
     range_events = min(RANGE_EVENTS, max(1, max_row_events // 2))
     ranges = max(2, math.ceil(hot.values / range_events))
     small_rows = ranges + hot.count
-    events = facts.where(F.col("event").isNotNull()).select(STAY_ID, "event.*").distinct()
+    ids = _small(hot.ids, hot.count)
+    distinct = (
+        events.where(F.col("token").isNotNull()).join(ids, STAY_ID, "left_semi").distinct()
+    )
     ranged = write_through(
-        events.repartitionByRange(ranges, STAY_ID, "moment", "token").withColumn(
+        distinct.repartitionByRange(ranges, STAY_ID, "moment", "token").withColumn(
             "part", F.spark_partition_id()
         ),
         "hot-ranges",
@@ -280,11 +290,15 @@ def hot_sequences(
     timelines = ranged.groupBy(STAY_ID, "part").agg(
         F.sort_array(F.collect_list(F.struct("moment", "token"))).alias("timeline")
     )
-    with_context = "context" in facts.columns
-    about = [F.bit_or("mask").alias("mask")]
+    with_context = "context" in about.columns
+    known = [F.bit_or("mask").alias("mask")]
     if with_context:
-        about.append(F.sort_array(F.collect_set("context")).alias("context"))
-    stays = facts.groupBy(STAY_ID).agg(*about)
+        known.append(F.sort_array(F.collect_set("context")).alias("context"))
+    known_rows = about.join(ids, STAY_ID, "left_semi").groupBy(STAY_ID).agg(*known)
+    stays = hot.ids.join(known_rows, STAY_ID, "left")
+    if with_context:
+        no_context = F.array().cast(stays.schema["context"].dataType)
+        stays = stays.withColumn("context", F.coalesce("context", no_context))
     rows = timelines.join(_small(parts, small_rows), [STAY_ID, "part"]).join(
         # A hot stay may have no event at all; it still counts.
         _small(stays, hot.count),
@@ -328,20 +342,16 @@ def stay_sequences(
     rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows of ``SEQUENCE_COLUMNS`` for every stay of every table."""
-    facts = fact_rows(
-        event_rows(tables, thresholds, threshold_count),
-        label_rows(tables, rules),
-        context_rows(tables) if with_static else None,
-    )
+    events = event_rows(tables, thresholds, threshold_count)
+    about = about_rows(label_rows(tables, rules), context_rows(tables) if with_static else None)
     fields = len(rules.fields)
     hot = find_hot_stays(tables, max_row_events, rows)
     if hot is None:
-        return ordinary_sequences(facts, with_gaps, fields)
+        return ordinary_sequences(fact_rows(events, about), with_gaps, fields)
     ids = _small(hot.ids, hot.count)
-    ordinary = facts.join(ids, STAY_ID, "left_anti")
-    split = facts.join(ids, STAY_ID, "left_semi")
+    ordinary = fact_rows(events, about).join(ids, STAY_ID, "left_anti")
     return ordinary_sequences(ordinary, with_gaps, fields).unionByName(
-        hot_sequences(split, hot, max_row_events, with_gaps, fields)
+        hot_sequences(events, about, hot, max_row_events, with_gaps, fields)
     )
 
 
