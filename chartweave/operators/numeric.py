@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from chartweave.contract import (
 )
 from chartweave.functions.numbers import event_time, finite_number, quartile_bin
 from chartweave.functions.text import build_token, normalize_name, normalize_text
+from chartweave.operators.shared_storage import write_through
 from chartweave.operators.tables import (
     ROW_ORDER,
     Tables,
@@ -325,12 +325,13 @@ def fit_numeric_bins(
 
 
 def hold_thresholds(thresholds: DataFrame) -> tuple[DataFrame, int]:
-    """Keep a fitted table at hand and count it.
+    """Write a fitted table to the shared folder and count it.
 
-    It is small next to the data, and its exact count decides between the
-    broadcast and the salted join. A lost block is computed again.
+    The table is small next to the data it took to fit. Written, it is fixed,
+    a lost executor does not cost another fit, and later plans do not carry the
+    fit along. Its exact count decides between the broadcast and the salted join.
     """
-    held = thresholds.select("measurement", *_EDGES).persist(StorageLevel.MEMORY_AND_DISK)
+    held = write_through(thresholds.select("measurement", *_EDGES), "thresholds")
     return held, held.count()
 
 
