@@ -35,11 +35,14 @@ BRANCHES = 2
 #: Levels that branch twice; deeper ones, met only inside dense groups, branch once.
 WIDE_LEVELS = 3
 #: Nodes of up to so many classes are compared exhaustively.
-LEAF = 100
+LEAF = 512
+#: In nodes of more classes than this, members first meet a pivot, so that a group of
+#: near copies is linked by one comparison each.
+PIVOT_FROM = 8
 #: Nodes that are still larger after so many levels are compared exhaustively in blocks.
 MAX_LEVELS = 10
 #: Chance to find a pair at the threshold itself; more similar pairs have a higher one.
-TARGET_RECALL = 0.99999
+TARGET_RECALL = 0.9999
 #: Deviations from the expected number of equal sketch tokens at which a pair is left out.
 SKETCH_SIGMAS = 5.5
 
@@ -219,8 +222,9 @@ def _first_rows(classes: DataFrame, trees: int) -> DataFrame:
 def _next_rows(large: DataFrame, classes: DataFrame, labels: DataFrame | None, branches: int) -> DataFrame:
     spot = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(branches)]
     nodes = F.array(*[F.xxhash64("node", F.lit(b), F.col("tokens")[spot[b]]) for b in range(branches)])
-    rows = large.join(classes.select("cls", "tokens", "n", *_BITS), "cls")
-    return _labelled(rows.select(F.explode(nodes).alias("node"), "cls", "n", *_BITS), labels)
+    own = restricted(classes.select("cls", "tokens", "n", *_BITS), large, ["cls"])
+    rows = large.join(own, "cls").select(F.explode(nodes).alias("node"), "cls", "n", *_BITS)
+    return _labelled(rows, labels)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -230,28 +234,36 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(own, "cls", "left").withColumn("label", F.coalesce("found", "cls")).drop("found")
 
 
-def _open_nodes(rows: DataFrame, level: int) -> DataFrame:
-    """Nodes with members of different components, with their size and a pivot."""
+def _open_rows(rows: DataFrame, first: bool) -> DataFrame:
+    """Rows of nodes whose members lie in different components, with the size of the node."""
+    members = F.count(F.lit(1)).alias("members")
+    if first:  # every class is still a component
+        nodes = rows.groupBy("node").agg(members).where("members > 1")
+    else:
+        ends = F.min("label").alias("low"), F.max("label").alias("high")
+        nodes = rows.groupBy("node").agg(members, *ends).where("low <> high").select("node", "members")
+    return rows.join(nodes, "node").select("node", "members", "cls", "label", "n", *_BITS)
+
+
+def _pivot_pairs(join: _Join, rows: DataFrame, level: int) -> DataFrame:
+    """Members of each node that may link to its pivot, another one at each level."""
     pivot = F.struct(F.xxhash64(F.lit(level), "cls").alias("rank"), "cls", "label", "n", *_BITS)
-    return (
-        rows.groupBy("node")
-        .agg(
-            F.count(F.lit(1)).alias("members"),
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.min(pivot).alias("p"),
-        )
-        .where("low <> high")
-    )
+    pivots = rows.groupBy("node").agg(F.min(pivot).alias("p")).select("node", "p.*")
+    pivots = pivots.select("node", *[F.col(c).alias(f"p_{c}") for c in ("cls", "label", "n", *_BITS)])
+    near = rows.join(pivots, "node").where((F.col("label") != F.col("p_label")) & join.may_link("", "p_"))
+    return near.select(F.col("p_cls").alias("u"), F.col("cls").alias("v"))
 
 
 def _leaf_pairs(join: _Join, rows: DataFrame) -> DataFrame:
-    """Pairs of different components inside each node that may link."""
+    """Pairs of different components inside each node that may link.
+
+    A node of up to ``leaf`` classes is one block; the blocks of larger ones meet two by two.
+    """
     a = rows.select(*[F.col(c).alias(f"x_{c}" if c != "key" else c) for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"y_{c}" if c != "key" else c) for c in rows.columns])
     near = join.may_link("x_", "y_")
     on = (a["key"] == b["key"]) & F.expr("x_cls < y_cls AND x_label <> y_label") & near
-    return a.join(b, on).select(F.col("x_cls").alias("u"), F.col("y_cls").alias("v")).distinct()
+    return a.join(b, on).select(F.col("x_cls").alias("u"), F.col("y_cls").alias("v"))
 
 
 def similar_classes(
@@ -262,49 +274,27 @@ def similar_classes(
     rows = _first_rows(classes, tree_count(join.threshold))
     links, labels, leaves = [], None, []
     for level in range(1, levels + 1):
-        nodes = _open_nodes(rows, level)
-        met = write_through(
-            rows.join(nodes.select("node", "members", "p"), "node").select(
-                "node",
-                "members",
-                "cls",
-                "n",
-                *_BITS,
-                F.expr("p.cls").alias("pivot"),
-                (
-                    (F.col("label") != F.expr("p.label"))
-                    & (_unequal("", "p.") <= join.limit)
-                    & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-                ).alias("near"),
-            ),
-            "nodes",
-        )
-        found = join.confirm(met.where("near").select(F.col("pivot").alias("u"), F.col("cls").alias("v")))
-        leaves.append(met.where(F.col("members") <= leaf).select("node", "cls", "n", *_BITS))
-        large = met.where(F.col("members") > leaf).select("node", "cls", "n", *_BITS)
+        met = write_through(_open_rows(rows, level == 1), "nodes")
+        crowded = met.where(F.col("members") > min(PIVOT_FROM, leaf))
+        found = join.confirm(_pivot_pairs(join, crowded, level))
+        large = met.where(F.col("members") > leaf)
+        last = level == levels or not large.limit(1).count()
+        leaves.append(met if last else met.where(F.col("members") <= leaf))
         if found.limit(1).count():
             links.append(found)
             labels = write_through(connected_components(reduce(DataFrame.unionByName, links)), "labels")
-        if not large.limit(1).count():
-            break
-        if level == levels:
-            leaves.append(large)
+        if last:
             break
         branches = BRANCHES if level < WIDE_LEVELS else 1
         rows = _next_rows(large.select("node", "cls"), classes, labels, branches)
-    rest = _labelled(reduce(DataFrame.unionByName, leaves), labels)
-    nodes = rest.groupBy("node").agg(
-        F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")
-    )
-    rest = rest.join(nodes.where("low <> high").select("node", "members"), "node")
-    # A node of up to leaf classes is one block; larger ones meet block by block.
+    rest = _labelled(reduce(DataFrame.unionByName, leaves).drop("label"), labels)
     blocks = F.ceil(F.col("members") / leaf).cast("int")
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     meet = F.transform(
         F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(o, block), F.greatest(o, block))
     )
-    rest = rest.select(F.explode(meet).alias("key"), "cls", "label", "n", *_BITS)
-    links.append(join.confirm(_leaf_pairs(join, rest)))
+    key = F.explode(F.when(blocks > 1, meet).otherwise(F.array("node"))).alias("key")
+    links.append(join.confirm(_leaf_pairs(join, rest.select(key, "cls", "label", "n", *_BITS))))
     return connected_components(reduce(DataFrame.unionByName, links))
 
 
