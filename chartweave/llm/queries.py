@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chartweave.llm.exact_dedup import exact_duplicates
+from chartweave.llm.language import identify_languages
 from chartweave.llm.near_dedup import near_duplicates
+from chartweave.llm.quality import score_quality
+from chartweave.llm.token_codes import token_codes
+from chartweave.llm.top_k import top_k
+
+#: File name of the vocabulary in the folder of public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +31,48 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_codes(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _fold(folds: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = score_quality(documents, labels, learn=_fold(5) != 0)
+    return found.select(
+        "doc_id",
+        (_fold(5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(_table(spark, sf_dir, "documents"), usable=_fold(4) != 2)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_token_codes": op2_token_codes,
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_quality": op7_quality,
+        "op8_language": op8_language,
+        "op10_top_k": op10_top_k,
     }
 
 
@@ -77,5 +118,22 @@ FROM digests WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_i
 """
 
 
+_OP10 = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _OP1, "op4_exact_dedup": _OP4}
+    return {"op1_near_dedup": _OP1, "op4_exact_dedup": _OP4, "op10_top_k": _OP10}
