@@ -21,7 +21,7 @@ from chartweave.llm.shared import identified, located, packed, write_through
 from chartweave.llm.word_sets import buffers, slices, word_bounds, word_hashes
 
 FEATURES = (
-    "log_chars log_words word_length upper sign bar other_ascii digit stop line_length repeat distinct short long"
+    "word_length upper sign bar other_ascii digit stop line_length repeat distinct short long"
 ).split()
 #: Shares of the pooled covariance, then of the diagonal, in each class covariance.
 POOLED, DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
@@ -38,31 +38,32 @@ _CLASS[[34, 39, 40, 41, 45, 47, 96]] = 8
 _CLASS[128:] = 9
 
 
+#: Ordinary words that every text is taken to have besides its own, so that the shares of
+#: a text of a few words lie near those of ordinary ones.
+_PRIOR_WORDS, _PRIOR_CHARS, _PRIOR_STOPS = 8, 48, 1
+
+
 def _one(part: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> list[float]:
-    n, words = len(part), len(begins)
-    if not words:
-        return [math.log1p(n), 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0]
-    kinds = np.bincount(_CLASS[part], minlength=10) / n
-    letters = kinds[2] + kinds[3] + kinds[9] + 1e-9
+    n, words = len(part) + _PRIOR_CHARS, len(begins) + _PRIOR_WORDS
+    kinds = np.bincount(_CLASS[part], minlength=10)
+    letters = kinds[2] + kinds[3] + kinds[9] + _PRIOR_CHARS
     size = ends - begins
     lines = 1 + int(np.count_nonzero(part == 10))
-    repeat = np.count_nonzero(hashes[1:] == hashes[:-1]) / words
+    repeat = np.count_nonzero(hashes[1:] == hashes[:-1])
     return [
-        math.log1p(n),
-        math.log1p(words),
-        math.log(size.mean()),
+        math.log((size.sum() + _PRIOR_CHARS) / words),
         math.sqrt(kinds[2] / letters),
-        math.sqrt(kinds[5]),
-        math.sqrt(kinds[6]),
-        math.sqrt(kinds[8]),
-        math.sqrt(kinds[4]),
-        math.sqrt(kinds[7]),
-        math.log1p(words / lines),
-        math.sqrt(repeat),
+        math.sqrt(kinds[5] / n),
+        math.sqrt(kinds[6] / n),
+        math.sqrt(kinds[8] / n),
+        math.sqrt(kinds[4] / n),
+        math.sqrt((kinds[7] + _PRIOR_STOPS) / n),
+        math.log(words / lines),
+        math.sqrt(repeat / words),
         # Distinct words against what a text of this length has by Heaps' law.
-        len(np.unique(hashes)) / words**0.9,
-        float((size <= 3).mean()),
-        float((size >= 12).mean()),
+        (len(np.unique(hashes)) + _PRIOR_WORDS) / words**0.9,
+        (np.count_nonzero(size <= 3) + _PRIOR_WORDS / 2) / words,
+        np.count_nonzero(size >= 12) / words,
     ]
 
 

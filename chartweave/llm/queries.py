@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chartweave.llm.exact_dedup import exact_duplicates
+from chartweave.llm.html_text import extract_main_text
 from chartweave.llm.language import identify_languages
 from chartweave.llm.near_dedup import near_duplicates
 from chartweave.llm.quality import score_quality
 from chartweave.llm.token_codes import token_codes
 from chartweave.llm.top_k import top_k
+from chartweave.llm.url_filter import judge_urls
 
 #: File name of the vocabulary in the folder of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -37,10 +39,18 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def _fold(folds: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
 
@@ -69,7 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_token_codes": op2_token_codes,
+        "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_url_filter": op6_url_filter,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op10_top_k": op10_top_k,
