@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from chartweave.llm.shared import identified, located, restricted, without_space, write_through
+from chartweave.llm.shared import ROW_KEY, dropping, identified, located, restricted, without_space, write_through
 
 #: Characters of the normalised text that the second stage hashes.
 PREFIX_CHARS = 64
@@ -87,7 +87,7 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     """``docs`` with one row of each group of equal texts; same columns, any extra ones included."""
     docs = located(docs)
     dropped = exact_groups(docs, text, doc_id).where(~F.col("leader")).select("__file", "__row")
-    return identified(docs).join(dropped, ["__file", "__row"], "left_anti").select("row.*")
+    return dropping(identified(docs), dropped, ROW_KEY).select("row.*")
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

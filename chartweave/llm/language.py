@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chartweave.llm.shared import identified, located, packed, write_through
+from chartweave.llm.shared import ROW_KEY, dropping, identified, located, packed, write_through
 from chartweave.llm.word_sets import buffers
 
 # Families of common language codes; a code that isn't here is its own family.
@@ -30,9 +30,9 @@ FAMILIES = {
     "turkic": "az kk tr uz",
 }
 #: Hash buckets of n-grams.
-WIDTH = 4096
+WIDTH = 2048
 #: Labelled rows a language that the models learn from, chosen by a hash of the text.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 600
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, np.uint8)
@@ -66,7 +66,7 @@ def features(texts: pa.Array) -> np.ndarray:
                         break
                     use = use[:-1] & on[n:]
                     gram = gram[:-1] * _SALT[1] + b[n:] * _SALT[2]
-                counts += np.bincount((gram[use] * np.uint32(2654435761)) >> np.uint32(20), minlength=WIDTH)
+                counts += np.bincount((gram[use] * np.uint32(2654435761)) >> np.uint32(21), minlength=WIDTH)
         root = np.sqrt(counts, dtype=np.float32)
         norm = float(np.sqrt(np.dot(root, root)))
         out[i] = root / norm if norm else root
@@ -78,15 +78,15 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, n: int, steps: int = 150) -> np.ndarray:
+def fit_softmax(x: np.ndarray, y: np.ndarray, n: int, steps: int = 100) -> np.ndarray:
     """Weights (n, width + 1) of a multinomial logistic model, by accelerated gradient steps."""
     x = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    weight, ahead = np.zeros((n, x.shape[1])), np.zeros((n, x.shape[1]))
-    goal = np.eye(n)[y]
+    weight = ahead = np.zeros((n, x.shape[1]), np.float32)
+    goal = np.eye(n, dtype=np.float32)[y]
     for t in range(steps):
-        slope = (_softmax(x @ ahead.T) - goal).T @ x / len(x) + 1e-5 * ahead
-        new = ahead - 2.0 * slope
-        ahead = new + t / (t + 3) * (new - weight)
+        slope = (_softmax(x @ ahead.T) - goal).T @ x / len(x) + np.float32(1e-5) * ahead
+        new = ahead - np.float32(2) * slope
+        ahead = new + np.float32(t / (t + 3)) * (new - weight)
         weight = new
     return weight
 
@@ -251,4 +251,4 @@ def drop_undetermined(docs: DataFrame, text: str = "text", lang: str = "lang", d
     docs = located(docs)
     found = identify_languages(docs, text, lang, doc_id)
     dropped = found.where(F.col("lang_pred") == UNDETERMINED).select("__file", "__row")
-    return identified(docs).join(dropped, ["__file", "__row"], "left_anti").select("row.*")
+    return dropping(identified(docs), dropped, ROW_KEY).select("row.*")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartweave.llm.components import connected_components
-from chartweave.llm.shared import identified, located, restricted, write_through
+from chartweave.llm.shared import ROW_KEY, dropping, identified, located, restricted, write_through
 from chartweave.llm.word_sets import mixed, shingle_sets
 
 POSITIONS = 128
@@ -360,4 +360,4 @@ def drop_near_duplicates(
     rows = identified(docs)
     found = near_duplicates(docs, text, doc_id, width, percent)
     dropped = found.where(~F.col("leader")).select("__file", "__row")
-    return rows.join(dropped, ["__file", "__row"], "left_anti").select("row.*")
+    return dropping(rows, dropped, ROW_KEY).select("row.*")

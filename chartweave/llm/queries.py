@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from chartweave.llm.exact_dedup import exact_duplicates
 from chartweave.llm.html_text import extract_main_text
 from chartweave.llm.language import identify_languages
+from chartweave.llm.mixing import mixed_rates
 from chartweave.llm.near_dedup import near_duplicates
+from chartweave.llm.packing import pack_batches
 from chartweave.llm.quality import score_quality
 from chartweave.llm.token_codes import token_codes
 from chartweave.llm.top_k import top_k
@@ -47,6 +49,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_tokens", "p_good", "p_low", "p_toxic", "rate", "copies")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -71,6 +78,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_batches(_table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -81,9 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_codes": op2_token_codes,
         "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_mixing": op5_mixing,
         "op6_url_filter": op6_url_filter,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
+        "op9_packing": op9_packing,
         "op10_top_k": op10_top_k,
     }
 

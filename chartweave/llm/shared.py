@@ -60,6 +60,13 @@ def restricted(frame: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return frame.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def dropping(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``rows`` whose key is not in ``keys``; the keys are counted before a broadcast."""
+    keys = write_through(keys.select(*on), "dropped")
+    small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys, on, "left_anti")
+
+
 def without_space(text: Column) -> Column:
     """A text (null: empty) without the characters ``[\\x20\\x09-\\x0D]``."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")
@@ -73,6 +80,7 @@ def fresh_path(spark, name: str) -> str:
 __all__ = [
     "MAX_BROADCAST_KEYS",
     "ROW_KEY",
+    "dropping",
     "fresh_path",
     "identified",
     "located",
