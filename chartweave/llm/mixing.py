@@ -234,7 +234,8 @@ def mixed_rates(
         "posteriors",
     )
     names = [f"p_{d}" for d in DOMAINS]
-    sums = write_through(scored.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "posterior-sums")
+    sums = scored.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    sums = write_through(sums.coalesce(1), "posterior-sums")  # bounded by the numbers of bins
     goal = np.array([targets[d] for d in DOMAINS], float)
     goal = goal / goal.sum()
     if keep:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartweave.llm.components import connected_components
-from chartweave.llm.shared import ROW_KEY, dropping, identified, located, restricted, write_through
+from chartweave.llm.shared import ROW_KEY, dropping, hinted, identified, located, restricted, write_through
 from chartweave.llm.word_sets import mixed, shingle_sets
 
 POSITIONS = 128
@@ -39,6 +39,8 @@ LEAF = 512
 #: In nodes of more classes than this, members first meet a pivot, so that a group of
 #: near copies is linked by one comparison each.
 PIVOT_FROM = 8
+#: Pivots of a node, and every how many levels they are taken.
+PIVOTS, PIVOT_EVERY = 3, 3
 #: Nodes that are still larger after so many levels are compared exhaustively in blocks.
 MAX_LEVELS = 10
 #: Chance to find a pair at the threshold itself; more similar pairs have a higher one.
@@ -50,6 +52,8 @@ _RANDOM = np.random.default_rng(7)
 _FACTORS = (_RANDOM.integers(0, 2**32, POSITIONS, dtype=np.uint32) | np.uint32(1))[:, None]
 _SHIFTS = _RANDOM.integers(0, 2**32, POSITIONS, dtype=np.uint32)[:, None]
 _BITS = ["b0", "b1", "b2", "b3"]
+#: What a class carries through the tree: its size, the place of one of its texts, its sketch.
+_CARRIED = ["n", "__file", "__row", *_BITS]
 
 
 def tree_count(threshold: float, recall: float = TARGET_RECALL) -> int:
@@ -188,18 +192,18 @@ class _Join:
         return near
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs (u, v) of classes, checked on full sets made from the texts."""
-        pairs = write_through(pairs.select("u", "v").distinct(), "pairs")
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-        keys = self.classes.join(needed, "cls", "left_semi").select("tkey")
-        chosen = restricted(self.texts, keys, ["tkey"]).select("text")
-        # Texts that differ and still make one set come more than once.
-        texts = write_through(
-            chosen.mapInArrow(_texts(self.width), "cls binary, packed binary")
-            .groupBy("cls")
-            .agg(F.min("packed").alias("packed")),
-            "texts",
-        )
+        """Links among pairs of classes, checked on full sets made from a text of each.
+
+        ``pairs``: u, v, and the places of their texts.
+        """
+        pairs = write_through(pairs.distinct(), "pairs")
+        keys = pairs.select(
+            F.explode(
+                F.array(*[F.struct(*[F.col(f"{side}{c}").alias(c) for c in ROW_KEY]) for side in "uv"])
+            ).alias("k")
+        ).select("k.*")
+        chosen = restricted(self.texts, keys, ROW_KEY).select("text")
+        texts = write_through(chosen.mapInArrow(_texts(self.width), "cls binary, packed binary"), "texts")
         sides = pairs.join(texts.select(F.col("cls").alias("v"), F.col("packed").alias("packed_v")), "v").join(
             texts.select(F.col("cls").alias("u"), F.col("packed").alias("packed_u")), "u"
         )
@@ -215,22 +219,22 @@ def _first_rows(classes: DataFrame, trees: int) -> DataFrame:
     spots = [(t, b, (BRANCHES * t + b) * 37 % POSITIONS) for t in range(trees) for b in range(BRANCHES)]
     nodes = F.array(*[F.xxhash64(F.lit(t), F.lit(b), F.col("tokens")[p]) for t, b, p in spots])
     return classes.select(
-        F.explode(F.array_distinct(nodes)).alias("node"), "cls", F.col("cls").alias("label"), "n", *_BITS
+        F.explode(F.array_distinct(nodes)).alias("node"), "cls", F.col("cls").alias("label"), *_CARRIED
     )
 
 
 def _next_rows(large: DataFrame, classes: DataFrame, labels: DataFrame | None, branches: int) -> DataFrame:
     spot = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(branches)]
     nodes = F.array(*[F.xxhash64("node", F.lit(b), F.col("tokens")[spot[b]]) for b in range(branches)])
-    own = restricted(classes.select("cls", "tokens", "n", *_BITS), large, ["cls"])
-    rows = large.join(own, "cls").select(F.explode(nodes).alias("node"), "cls", "n", *_BITS)
+    own = restricted(classes.select("cls", "tokens", *_CARRIED), large, ["cls"])
+    rows = large.join(own, "cls").select(F.explode(nodes).alias("node"), "cls", *_CARRIED)
     return _labelled(rows, labels)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("label", F.col("cls"))
-    own = labels.select(F.col("vertex").alias("cls"), F.col("label").alias("found"))
+    own = hinted(labels).select(F.col("vertex").alias("cls"), F.col("label").alias("found"))
     return rows.join(own, "cls", "left").withColumn("label", F.coalesce("found", "cls")).drop("found")
 
 
@@ -242,16 +246,31 @@ def _open_rows(rows: DataFrame, first: bool) -> DataFrame:
     else:
         ends = F.min("label").alias("low"), F.max("label").alias("high")
         nodes = rows.groupBy("node").agg(members, *ends).where("low <> high").select("node", "members")
-    return rows.join(nodes, "node").select("node", "members", "cls", "label", "n", *_BITS)
+    return rows.join(nodes, "node").select("node", "members", "cls", "label", *_CARRIED)
+
+
+def _pairs(near: DataFrame, one: str, other: str) -> DataFrame:
+    """u, v and the places of their texts, from two groups of columns."""
+    columns = [
+        F.col(f"{prefix}{c}").alias(side if c == "cls" else f"{side}{c}")
+        for side, prefix in (("u", one), ("v", other))
+        for c in ("cls", *ROW_KEY)
+    ]
+    return near.select(*columns)
 
 
 def _pivot_pairs(join: _Join, rows: DataFrame, level: int) -> DataFrame:
-    """Members of each node that may link to its pivot, another one at each level."""
-    pivot = F.struct(F.xxhash64(F.lit(level), "cls").alias("rank"), "cls", "label", "n", *_BITS)
-    pivots = rows.groupBy("node").agg(F.min(pivot).alias("p")).select("node", "p.*")
-    pivots = pivots.select("node", *[F.col(c).alias(f"p_{c}") for c in ("cls", "label", "n", *_BITS)])
-    near = rows.join(pivots, "node").where((F.col("label") != F.col("p_label")) & join.may_link("", "p_"))
-    return near.select(F.col("p_cls").alias("u"), F.col("cls").alias("v"))
+    """Members of each node that may link to one of its pivots; each level has other ones."""
+    pivots = [
+        F.min(F.struct(F.xxhash64(F.lit(level), F.lit(j), "cls").alias("rank"), "cls", "label", *_CARRIED))
+        for j in range(PIVOTS)
+    ]
+    chosen = rows.groupBy("node").agg(F.array_distinct(F.array(*pivots)).alias("p"))
+    chosen = chosen.select("node", F.explode("p").alias("p")).select(
+        "node", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("cls", "label", *_CARRIED)]
+    )
+    near = rows.join(chosen, "node").where((F.col("label") != F.col("p_label")) & join.may_link("", "p_"))
+    return _pairs(near, "p_", "")
 
 
 def _leaf_pairs(join: _Join, rows: DataFrame) -> DataFrame:
@@ -263,7 +282,7 @@ def _leaf_pairs(join: _Join, rows: DataFrame) -> DataFrame:
     b = rows.select(*[F.col(c).alias(f"y_{c}" if c != "key" else c) for c in rows.columns])
     near = join.may_link("x_", "y_")
     on = (a["key"] == b["key"]) & F.expr("x_cls < y_cls AND x_label <> y_label") & near
-    return a.join(b, on).select(F.col("x_cls").alias("u"), F.col("y_cls").alias("v"))
+    return _pairs(a.join(b, on), "x_", "y_")
 
 
 def similar_classes(
@@ -275,13 +294,12 @@ def similar_classes(
     links, labels, leaves = [], None, []
     for level in range(1, levels + 1):
         met = write_through(_open_rows(rows, level == 1), "nodes")
-        crowded = met.where(F.col("members") > min(PIVOT_FROM, leaf))
-        found = join.confirm(_pivot_pairs(join, crowded, level))
         large = met.where(F.col("members") > leaf)
         last = level == levels or not large.limit(1).count()
         leaves.append(met if last else met.where(F.col("members") <= leaf))
-        if found.limit(1).count():
-            links.append(found)
+        if (level - 1) % PIVOT_EVERY == 0:
+            crowded = met.where(F.col("members") > min(PIVOT_FROM, leaf))
+            links.append(join.confirm(_pivot_pairs(join, crowded, level)))
             labels = write_through(connected_components(reduce(DataFrame.unionByName, links)), "labels")
         if last:
             break
@@ -294,7 +312,7 @@ def similar_classes(
         F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(o, block), F.greatest(o, block))
     )
     key = F.explode(F.when(blocks > 1, meet).otherwise(F.array("node"))).alias("key")
-    links.append(join.confirm(_leaf_pairs(join, rest.select(key, "cls", "label", "n", *_BITS))))
+    links.append(join.confirm(_leaf_pairs(join, rest.select(key, "cls", "label", *_CARRIED))))
     return connected_components(reduce(DataFrame.unionByName, links))
 
 
@@ -315,23 +333,22 @@ def near_duplicates(
     )
     kind = dict(rows.dtypes)["doc_id"]
     sketched = write_through(
-        rows.withColumn("tkey", F.xxhash64("text")).mapInArrow(
+        rows.mapInArrow(
             _sketches(width),
-            f"__file bigint, __row bigint, doc_id {kind}, tkey bigint, cls binary, n bigint, "
+            f"__file bigint, __row bigint, doc_id {kind}, cls binary, n bigint, "
             "tokens array<int>, b0 bigint, b1 bigint, b2 bigint, b3 bigint",
         ),
         "sketches",
     )
-    classes = write_through(
+    first = F.min(F.struct(*ROW_KEY)).alias("place")
+    classes = (
         sketched.where("cls IS NOT NULL")
         .groupBy("cls")
-        .agg(
-            F.min("tkey").alias("tkey"),
-            *[F.first(c).alias(c) for c in ("n", "tokens", *_BITS)],
-        ),
-        "classes",
+        .agg(first, *[F.first(c).alias(c) for c in ("n", "tokens", *_BITS)])
+        .select("cls", "n", "place.*", "tokens", *_BITS)
     )
-    texts = rows.select(F.xxhash64("text").alias("tkey"), "text")
+    classes = write_through(classes, "classes")
+    texts = rows.select(*ROW_KEY, "text")
     labels = write_through(similar_classes(texts, classes, width, percent), "components")
     facts = (
         sketched.select("__file", "__row", "doc_id", "n", "cls")

@@ -56,15 +56,19 @@ def identified(docs: DataFrame) -> DataFrame:
 def restricted(frame: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``frame`` whose key is in ``keys``; the keys are counted before a broadcast."""
     keys = write_through(keys.select(*on).distinct(), "keys")
-    small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    return frame.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    return frame.join(hinted(keys), on, "left_semi")
+
+
+def hinted(table: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast if it has few of them."""
+    small = table.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    return F.broadcast(table) if small else table
 
 
 def dropping(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``rows`` whose key is not in ``keys``; the keys are counted before a broadcast."""
     keys = write_through(keys.select(*on), "dropped")
-    small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if small else keys, on, "left_anti")
+    return rows.join(hinted(keys), on, "left_anti")
 
 
 def without_space(text: Column) -> Column:
@@ -82,6 +86,7 @@ __all__ = [
     "ROW_KEY",
     "dropping",
     "fresh_path",
+    "hinted",
     "identified",
     "located",
     "packed",
