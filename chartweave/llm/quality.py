@@ -100,12 +100,15 @@ class Discriminant:
     """Means and Cholesky factors of two classes."""
 
     def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> None:
+        self.parts: dict = {}
+        if len(moments) < 2:  # nothing to tell apart
+            self.parts = dict.fromkeys(moments)
+            return
         n = {c: m[0] for c, m in moments.items()}
         mean = {c: m[1] / m[0] for c, m in moments.items()}
         scatter = {c: m[2] - m[0] * np.outer(mean[c], mean[c]) for c, m in moments.items()}
         pooled = sum(scatter.values()) / max(1.0, sum(n.values()) - len(n))
         scale = np.diag(np.diag(pooled)) + RIDGE * np.eye(len(pooled))
-        self.parts = {}
         for c in moments:
             own = scatter[c] / max(1.0, n[c] - 1)
             own = (1 - POOLED) * own + POOLED * pooled
