@@ -329,10 +329,13 @@ def hold_thresholds(thresholds: DataFrame) -> tuple[DataFrame, int]:
 
     The table is small next to the data it took to fit. Written, it is fixed,
     a lost executor does not cost another fit, and later plans do not carry the
-    fit along. Its exact count decides between the broadcast and the salted join.
+    fit along. A measurement may stand in one row only. Its exact count decides between the broadcast and the salted join.
     """
     held = write_through(thresholds.select("measurement", *_EDGES), "thresholds")
-    return held, held.count()
+    count, names = held.agg(F.count(F.lit(1)), F.count_distinct("measurement")).first()
+    if held.where("measurement IS NULL").limit(1).count() or names != count:
+        raise ValueError("thresholds need one row for each measurement")
+    return held, count
 
 
 def classify_measurements(

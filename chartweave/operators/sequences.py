@@ -36,9 +36,8 @@ from chartweave.operators.tables import (
     union_all,
 )
 
-# Source values of one stay that may be collected into one output row; a few
-# times what the busiest real stays have.
-MAX_ROW_EVENTS = 500_000
+# A stay is one row at every size, unless a caller asks for rows of bounded size.
+MAX_ROW_EVENTS: int | None = None
 # Events of one range of a stay that has more than that.
 RANGE_EVENTS = 100_000
 # Rows of a table about hot stays (ids, ranges) that may be broadcast.
@@ -77,15 +76,17 @@ def values_per_row(tables: Tables) -> dict[str, int]:
 
 def find_hot_stays(
     tables: Tables,
-    max_row_events: int = MAX_ROW_EVENTS,
+    max_row_events: int | None = MAX_ROW_EVENTS,
     rows: Mapping[str, int] | None = None,
 ) -> HotStays | None:
-    """Stays with more source values than a row may hold, or None.
+    """Stays with more source values than a row may hold, or None; None without a limit.
 
     When all tables together hold no more than that, nothing needs counting.
     Otherwise the id columns are read and counted map-side. At most (all values
     / ``max_row_events``) stays can qualify, which bounds the list.
     """
+    if max_row_events is None:
+        return None
     values = values_per_row(tables)
     rows = source_rows(tables) if rows is None else rows
     if sum(rows.get(table, 0) * n for table, n in values.items()) <= max_row_events:
@@ -338,7 +339,7 @@ def stay_sequences(
     with_gaps: bool,
     with_static: bool,
     rules: LabelRules,
-    max_row_events: int = MAX_ROW_EVENTS,
+    max_row_events: int | None = MAX_ROW_EVENTS,
     rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows of ``SEQUENCE_COLUMNS`` for every stay of every table."""

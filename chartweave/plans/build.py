@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from chartweave.contract import STAY_ID
 from chartweave.operators.numeric import MAX_RANKED_ROWS, fit_numeric_bins, hold_thresholds
 from chartweave.operators.outcomes import DEFAULT_RULES, LabelRules, label_masks
 from chartweave.operators.sequences import MAX_ROW_EVENTS, kept_sequences, stay_sequences
+from chartweave.operators.shared_storage import write_through
 from chartweave.operators.statistics import event_statistics
 from chartweave.operators.tables import (
     Tables,
@@ -91,7 +92,7 @@ def plan_event_streams(
     *,
     rules: LabelRules = DEFAULT_RULES,
     thresholds: DataFrame | None = None,
-    max_row_events: int = MAX_ROW_EVENTS,
+    max_row_events: int | None = MAX_ROW_EVENTS,
     max_ranked_rows: int = MAX_RANKED_ROWS,
 ) -> StreamBuild:
     """Fit (unless thresholds are given) and describe the sequences.
@@ -127,8 +128,9 @@ def build_event_streams(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Streams, aligned outcomes and one row of statistics; see ``plan_event_streams``.
 
-    The three are separate plans over the same sequences. A job that writes all
-    of them should write the sequences once, as ``prepare_streams`` does.
+    The sequences are written once to the shared folder, and the three read them. There is
+    one stream and one outcome per kept stay, unless ``max_row_events`` asks for bounded rows.
     """
     build = plan_event_streams(tables, representation, min_events_per_stay, **options)
+    build = replace(build, sequences=write_through(build.sequences, "sequences"))
     return build.streams, build.outcomes, build.statistics

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,10 @@ from chartweave.operators.tables import ROW_ORDER, ROW_ORDER_TYPE
 
 # Receives the cells of a row that has more fields than the header.
 _OVERFLOW = "_overflow"
+_TOO_LONG = "has a row with more fields than its header"
 
-_WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
+# An integer column with gaps is often written as 101.0.
+_WHOLE_NUMBER = r"^\s*[+-]?\d+(\.0*)?\s*$"
 _ANY_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -35,7 +38,7 @@ def _header(spark: SparkSession, path: str, table: str, multiline: bool) -> list
         columns = spark.read.options(**_options(multiline)).csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"file of table '{table}' is missing: {path}") from error
+            raise FileNotFoundError(f"no file of table '{table}' at {path}") from error
         raise
     if not columns:
         raise ValueError(f"table '{table}' is empty and has no columns: {path}")
@@ -59,9 +62,7 @@ def scan_table(
     _require_stay(columns, table)
     schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in (*columns, _OVERFLOW))
     rows = spark.read.options(**_options(multiline)).schema(schema).csv(path)
-    too_long = F.raise_error(
-        F.lit(f"table '{table}' has a row with more fields than its header: {path}")
-    )
+    too_long = F.raise_error(F.lit(f"table '{table}' {_TOO_LONG}: {path}"))
     stay = F.when(F.col(_OVERFLOW).isNull(), _cell(STAY_ID)).otherwise(too_long.cast("string"))
     selected = [
         stay.alias(STAY_ID) if column == STAY_ID else _cell(column).alias(column)
@@ -108,7 +109,14 @@ def _typed(tables: dict[str, DataFrame], id_type: str) -> dict[str, DataFrame]:
         )
     if not profiles:
         return {}
-    found = {row["table"]: row["numeric"] for row in reduce(DataFrame.unionAll, profiles).collect()}
+    try:
+        rows = reduce(DataFrame.unionAll, profiles).collect()
+    except PySparkException as error:
+        said = re.search(rf"table '[^']*' {_TOO_LONG}: \S+", str(error))
+        if said is None:
+            raise
+        raise ValueError(said[0]) from error
+    found = {row["table"]: row["numeric"] for row in rows}
     whole = all(numeric[STAY_ID] for numeric in found.values())
     stay_type = id_type if id_type != "auto" else ("bigint" if whole else "string")
     typed = {}
@@ -125,11 +133,47 @@ def _cast(frame: DataFrame, types: dict[str, str]) -> DataFrame:
         wanted = types.get(name, "string")
         if name == ROW_ORDER or wanted == "string":
             return quoted
-        return F.trim(quoted).cast(wanted).alias(name)
+        cell = F.trim(quoted)
+        if wanted == "bigint":
+            cell = cell.cast("decimal(38,0)")  # takes 101.0 too
+        return cell.cast(wanted).alias(name)
 
     return frame.select(*[column(name) for name in frame.columns])
 
 
+def _check_lines(spark: SparkSession, paths: dict[str, str]) -> None:
+    """Refuse files that the line-wise reader would damage; one pass over their lines.
+
+    A line with an odd number of quotes begins or ends a cell with a line break. Part
+    files whose header differs would be read by position under the first one's names.
+    """
+    counts = []
+    for table, path in paths.items():
+        lines = spark.read.text(path)
+        first = lines.first()
+        quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+        counts.append(
+            lines.groupBy(F.col("_metadata.file_path").alias("file"))
+            .agg(
+                F.count_if(quotes % 2 == 1).alias("open"),
+                F.count_if(F.col("value") == F.lit(first[0] if first else "")).alias("headers"),
+            )
+            .groupBy()
+            .agg(F.sum("open").alias("open"), F.count_if(F.col("headers") == 0).alias("other"))
+            .select(F.lit(table).alias("table"), "open", "other")
+        )
+    if not counts:
+        return
+    for row in reduce(DataFrame.unionAll, counts).collect():
+        if row["open"]:
+            raise ValueError(
+                f"table '{row['table']}' has line breaks inside quoted cells; pass multiline=True: "
+                f"{paths[row['table']]}"
+            )
+        if row["other"]:
+            raise ValueError(f"part files of table '{row['table']}' differ in header: {paths[row['table']]}")
+
+
 def load_tables(
     spark: SparkSession,
     raw_dir: str,
@@ -148,8 +192,9 @@ def load_tables(
     id_type     ``auto`` reads the ids once and takes ``bigint`` when all are
                 whole numbers, else ``string``; naming the type saves the pass
                 when ``check_rows`` is off (a bad id then fails the query).
-    check_rows  one pass per table before anything is built, so that a malformed
-                row stops the caller early; without it such a row fails the
+    check_rows  passes over each table before anything is built, so that a malformed
+                row, a line break inside a cell (see multiline) or part files with
+                different headers stop the caller early with a ValueError; without it such a row fails the
                 query that reads it.
     keep_order  remember the place of patient rows in their file; it decides the
                 order of the static tokens of a stay with several patient rows.
@@ -172,6 +217,8 @@ def load_tables(
         )
         for name in names
     }
+    if check_rows and not multiline:
+        _check_lines(spark, {name: table_path(raw_dir, name) for name in names})
     if check_rows or id_type == "auto":
         return _typed(loaded, id_type)
     return {name: _cast(frame, {STAY_ID: id_type}) for name, frame in loaded.items()}

@@ -96,11 +96,12 @@ def read_event_streams_jsonl(
         .groupBy("file", "rule")
         .count()
         .orderBy("file", "rule")
-        .limit(_REPORTED)
+        .limit(_REPORTED + 1)
         .collect()
     )
     if broken:
-        places = ", ".join(f"{row['file']}: {row['rule']} ({row['count']})" for row in broken)
+        places = ", ".join(f"{row['file']}: {row['rule']} ({row['count']})" for row in broken[:_REPORTED])
+        places += ", and more" if len(broken) > _REPORTED else ""
         raise ValueError(f"invalid event streams in {path}: {places}")
     return streams_from_records(records)
 

@@ -427,7 +427,7 @@ UNION ALL SELECT stay, 'event_times_order', '2' FROM records WHERE second_time <
 WITH tokens AS (
   SELECT doc_id AS stay, CASE lang WHEN 'en' THEN 'DX' WHEN 'de' THEN 'LAB' ELSE lang END
       || CASE WHEN source LIKE '%1' THEN ':' ELSE '::' END
-      || CASE WHEN n_chars > 500 THEN text ELSE '' END AS token
+      || text AS token
   FROM documents)
 SELECT stay AS patientunitstayid, 'token' AS rule, md5(token) AS detail_md5
 FROM tokens WHERE NOT coalesce(length(token) > strpos(token, '::') + 1

@@ -419,7 +419,7 @@ def token_violations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(
             F.coalesce(family, F.col("lang")),
             F.when(F.col("source").endswith("1"), ":").otherwise("::"),
-            F.when(F.col("n_chars") > 500, F.col("text")).otherwise(""),
+            F.col("text"),
         ).alias("token"),
     )
     return token_violations(tokens).select(STAY_ID, "rule", F.md5("detail").alias("detail_md5"))

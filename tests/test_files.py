@@ -74,13 +74,40 @@ def test_header_only_and_short_rows(spark, tmp_path):
 
 def test_long_rows_are_an_error(spark, tmp_path):
     write(tmp_path, "diagnosis", "patientunitstayid,diagnosisstring\n5,a\n6,b,c\n")
-    with pytest.raises(Exception, match="more fields than its header"):
+    with pytest.raises(ValueError, match="more fields than its header"):
         load_tables(spark, str(tmp_path), ["diagnosis"])
     lazy = load_tables(spark, str(tmp_path), ["diagnosis"], id_type="bigint", check_rows=False)
     with pytest.raises(Exception, match="more fields than its header"):
         lazy["diagnosis"].collect()
 
 
+def test_line_breaks_inside_cells_need_multiline(spark, tmp_path):
+    write(tmp_path, "diagnosis", 'patientunitstayid,diagnosisstring\n5,"a\nb"\n6,"c ""d"""\n')
+    with pytest.raises(ValueError, match="multiline=True"):
+        load_tables(spark, str(tmp_path), ["diagnosis"])
+    whole = load_tables(spark, str(tmp_path), ["diagnosis"], multiline=True)["diagnosis"]
+    assert sorted(tuple(r) for r in whole.collect()) == [(5, "a\nb"), (6, 'c "d"')]
+
+
+def test_part_files_must_share_a_header(spark, tmp_path):
+    folder = tmp_path / "diagnosis.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("patientunitstayid,diagnosisoffset\n5,60\n")
+    (folder / "part-1.csv").write_text("patientunitstayid,diagnosisoffset\n6,70\n")
+    assert load_tables(spark, str(tmp_path), ["diagnosis"])["diagnosis"].count() == 2
+    (folder / "part-2.csv").write_text("diagnosisoffset,patientunitstayid\n70,7\n")
+    with pytest.raises(ValueError, match="differ in header"):
+        load_tables(spark, str(tmp_path), ["diagnosis"])
+
+
+def test_whole_ids_written_with_a_point(spark, tmp_path):
+    write(tmp_path, "patient", "patientunitstayid,gender\n101.0,Male\n102.,Female\n")
+    write(tmp_path, "diagnosis", "patientunitstayid,diagnosisstring\n101,a\n")
+    tables = load_tables(spark, str(tmp_path), ["patient", "diagnosis"])
+    assert sorted(r[0] for r in tables["patient"].select("patientunitstayid").collect()) == [101, 102]
+    assert tables["patient"].join(tables["diagnosis"], "patientunitstayid").count() == 1
+
+
 def test_null_cells(spark, tmp_path):
     cells = ["N/A", "None", "NULL", "nan", "<NA>", "none", "n/a ", "Null"]
     write(tmp_path, "patient", "patientunitstayid,gender\n" + "".join(f"1,{c}\n" for c in cells))
@@ -234,16 +261,15 @@ def test_command(spark, tmp_path, capsys):
     raw_tables(raw)
     assert command.main(["--raw_dir", str(raw), "--out_dir", str(out)]) == 0
     printed = capsys.readouterr().out
-    assert "Prepared 1 event stream(s); skipped 0 stay(s)." in printed
-    assert "patientunitstayid" not in printed and "DX::" not in printed
+    assert json.loads(printed.splitlines()[-1]) == {"streams": 1, "skipped_stays": 0}
     other = tmp_path / "other"
     for arguments, words in (
-        (["--representation", "raw"], "invalid choice"),
-        (["--min_events_per_stay", "0"], "positive integer"),
+        (["--min_events_per_stay", "0"], "min_events_per_stay"),
         (["--raw_dir", str(tmp_path / "none")], "patient.csv"),
     ):
         base = ["--raw_dir", str(raw), "--out_dir", str(other)]
-        with pytest.raises(SystemExit):
-            command.main(base + arguments)
+        assert command.main(base + arguments) == 2
         assert words in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        command.main([*base, "--representation", "raw"])
     assert not other.exists()
