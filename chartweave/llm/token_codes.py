@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from chartweave.llm.shared import fresh_path, packed
+from chartweave.llm.shared import fresh_path, hinted, packed, write_through
 
 END_ID = 1
 #: Ids after which a block is closed; a longer document is a block of its own.
@@ -237,7 +237,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
         .join(before, "part")
         .select("part", "block", (F.col("base") + F.col("inner")).alias("start"))
     )
-    return blocks.join(starts, ["part", "block"])
+    # One short row a block: counted, and broadcast if few, so that payloads needn't move.
+    return blocks.join(hinted(write_through(starts, "block-starts")), ["part", "block"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
