@@ -41,8 +41,12 @@ LEAF = 512
 PIVOT_FROM = 8
 #: Pivots of a node, and every how many levels they are taken.
 PIVOTS, PIVOT_EVERY = 3, 3
-#: Nodes that are still larger after so many levels are compared exhaustively in blocks.
+#: Larger nodes are compared exhaustively in blocks once that takes no more than so many
+#: comparisons for each class of the table, and at any cost after so many levels.
+COMPARISONS = 2_000
 MAX_LEVELS = 10
+#: Sets that a task keeps while it confirms pairs, in bytes; then it starts afresh.
+KEPT_BYTES = 64 << 20
 #: Chance to find a pair at the threshold itself; more similar pairs have a higher one.
 TARGET_RECALL = 0.9999
 #: Deviations from the expected number of equal sketch tokens at which a pair is left out.
@@ -154,20 +158,30 @@ def _confirmed(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor().decompress
+        kept: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def of(cls: bytes, packed: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            own = kept.get(cls)
+            if own is None:
+                text = loosen(packed.as_py()).decode()
+                own = next(shingle_sets(pa.array([text], pa.large_string()), width))
+                if held + own.nbytes > KEPT_BYTES:
+                    kept.clear()
+                    held = 0
+                kept[cls] = own
+                held += own.nbytes
+            return own
 
-        def sets(packs: list[bytes]) -> Iterator[np.ndarray]:
-            yield from shingle_sets(pa.array([loosen(p).decode() for p in packs], pa.large_string()), width)
-
-        last, own = None, None
         for batch in batches:
-            left, right = batch.column("packed_u").to_pylist(), batch.column("packed_v").to_pylist()
+            left, right = batch.column("packed_u"), batch.column("packed_v")
+            keys = zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)
             good = []
-            for at in range(0, len(left), 64):
-                for one, other in zip(left[at : at + 64], sets(right[at : at + 64]), strict=True):
-                    if one != last:
-                        last, own = one, next(sets([one]))
-                    both = np.intersect1d(own, other, assume_unique=True).size
-                    good.append(100 * both >= percent * (own.size + other.size - both))
+            for i, (u, v) in enumerate(keys):
+                one, other = of(u, left[i]), of(v, right[i])
+                both = np.intersect1d(one, other, assume_unique=True).size
+                good.append(100 * both >= percent * (one.size + other.size - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"]
@@ -290,12 +304,15 @@ def similar_classes(
 ) -> DataFrame:
     """(vertex, label) of all classes that have a link; see the module's text."""
     join = _Join(texts, classes, width, percent)
+    affordable = COMPARISONS * classes.count()
     rows = _first_rows(classes, tree_count(join.threshold))
     links, labels, leaves = [], None, []
     for level in range(1, levels + 1):
         met = write_through(_open_rows(rows, level == 1), "nodes")
         large = met.where(F.col("members") > leaf)
-        last = level == levels or not large.limit(1).count()
+        # Every row of a node meets each other one: half its members, on average.
+        comparisons = (large.agg(F.sum("members")).first()[0] or 0) // 2
+        last = level == levels or comparisons <= affordable
         leaves.append(met if last else met.where(F.col("members") <= leaf))
         if (level - 1) % PIVOT_EVERY == 0:
             crowded = met.where(F.col("members") > min(PIVOT_FROM, leaf))

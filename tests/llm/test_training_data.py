@@ -89,10 +89,14 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("leaf, levels", [(near_dedup.LEAF, near_dedup.MAX_LEVELS), (3, 2)])
-def test_near_duplicates(spark, monkeypatch, leaf, levels):
-    defaults = (leaf, levels)
-    monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", defaults)
+@pytest.mark.parametrize(
+    "leaf, levels, comparisons, kept",
+    [(near_dedup.LEAF, near_dedup.MAX_LEVELS, near_dedup.COMPARISONS, near_dedup.KEPT_BYTES), (3, 2, 0, 0)],
+)
+def test_near_duplicates(spark, monkeypatch, leaf, levels, comparisons, kept):
+    monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", (leaf, levels))
+    monkeypatch.setattr(near_dedup, "COMPARISONS", comparisons)
+    monkeypatch.setattr(near_dedup, "KEPT_BYTES", kept)
     rows = near_rows()
     found = near_dedup.near_duplicates(docs_of(spark, rows), width=2).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
