@@ -4,8 +4,9 @@ A document is the set of its word shingles. Documents with equal sets form one c
 the join works on classes. Each class has 128 minwise tokens. A tree branches by
 selected tokens: a node chooses positions by its own hash, and a class goes to the
 child named by its token at each position. Classes that are similar stay together
-down some path of most trees; others part. Small nodes are compared exhaustively; a large
-node is first compared with one pivot and then branches again. Independent trees
+down some path of most trees; others part. Small nodes are compared exhaustively; large
+ones meet a few pivots and branch again, or are compared in blocks as soon as all of
+them together take a bounded number of comparisons for each class. Independent trees
 are repeated until the chance to part a pair at the threshold is under the target.
 
 Two classes that verified links already connect need no comparison, which is what
@@ -229,12 +230,16 @@ class _Join:
         )
 
 
-def _first_rows(classes: DataFrame, trees: int) -> DataFrame:
+def _first_nodes(trees: int) -> Column:
+    """The nodes of a class on the first level of all trees."""
     spots = [(t, b, (BRANCHES * t + b) * 37 % POSITIONS) for t in range(trees) for b in range(BRANCHES)]
-    nodes = F.array(*[F.xxhash64(F.lit(t), F.lit(b), F.col("tokens")[p]) for t, b, p in spots])
-    return classes.select(
-        F.explode(F.array_distinct(nodes)).alias("node"), "cls", F.col("cls").alias("label"), *_CARRIED
-    )
+    nodes = [F.xxhash64(F.lit(t), F.lit(b), F.col("tokens")[p]) for t, b, p in spots]
+    return F.array_distinct(F.array(*nodes))
+
+
+def _first_rows(classes: DataFrame, trees: int) -> DataFrame:
+    nodes = F.explode(_first_nodes(trees)).alias("node")
+    return classes.select(nodes, "cls", F.col("cls").alias("label"), *_CARRIED)
 
 
 def _next_rows(large: DataFrame, classes: DataFrame, labels: DataFrame | None, branches: int) -> DataFrame:
@@ -287,15 +292,24 @@ def _pivot_pairs(join: _Join, rows: DataFrame, level: int) -> DataFrame:
     return _pairs(near, "p_", "")
 
 
-def _leaf_pairs(join: _Join, rows: DataFrame) -> DataFrame:
+def _leaf_pairs(join: _Join, rows: DataFrame, leaf: int) -> DataFrame:
     """Pairs of different components inside each node that may link.
 
-    A node of up to ``leaf`` classes is one block; the blocks of larger ones meet two by two.
+    A node of up to ``leaf`` classes is one block; the blocks of larger ones meet two by two,
+    and a block meets itself once. ``first``, where it isn't null, holds all nodes of a class:
+    classes that meet in several of them give their pair in the least one only.
     """
+    blocks = F.ceil(F.col("members") / leaf).cast("int")
+    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    rows = rows.select("node", "first", "cls", "label", *_CARRIED, block.alias("block"), other)
+    ends = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select(*rows.columns, F.xxhash64("node", *ends).alias("key"), (ends[0] == ends[1]).alias("alone"))
     a = rows.select(*[F.col(c).alias(f"x_{c}" if c != "key" else c) for c in rows.columns])
     b = rows.select(*[F.col(c).alias(f"y_{c}" if c != "key" else c) for c in rows.columns])
     near = join.may_link("x_", "y_")
-    on = (a["key"] == b["key"]) & F.expr("x_cls < y_cls AND x_label <> y_label") & near
+    once = F.expr("(x_block <> y_block OR x_alone) AND coalesce(array_min(array_intersect(x_first, y_first)) = x_node, true)")
+    on = (a["key"] == b["key"]) & F.expr("x_cls < y_cls AND x_label <> y_label") & near & once
     return _pairs(a.join(b, on), "x_", "y_")
 
 
@@ -323,13 +337,15 @@ def similar_classes(
         branches = BRANCHES if level < WIDE_LEVELS else 1
         rows = _next_rows(large.select("node", "cls"), classes, labels, branches)
     rest = _labelled(reduce(DataFrame.unionByName, leaves).drop("label"), labels)
-    blocks = F.ceil(F.col("members") / leaf).cast("int")
-    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    meet = F.transform(
-        F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64("node", F.least(o, block), F.greatest(o, block))
-    )
-    key = F.explode(F.when(blocks > 1, meet).otherwise(F.array("node"))).alias("key")
-    links.append(join.confirm(_leaf_pairs(join, rest.select(key, "cls", "label", *_CARRIED))))
+    if level == 1:  # no class has left a node, so the nodes of both say where a pair meets
+        wide = rest.where(F.col("members") > leaf)
+        own = restricted(classes.select("cls", "tokens"), wide, ["cls"])
+        wide = wide.join(own.select("cls", _first_nodes(tree_count(join.threshold)).alias("first")), "cls")
+        narrow = rest.where(F.col("members") <= leaf).withColumn("first", F.lit(None).cast("array<bigint>"))
+        rest = wide.unionByName(narrow)
+    else:
+        rest = rest.withColumn("first", F.lit(None).cast("array<bigint>"))
+    links.append(join.confirm(_leaf_pairs(join, rest, leaf)))
     return connected_components(reduce(DataFrame.unionByName, links))
 
 

@@ -91,7 +91,7 @@ def near_rows():
 
 @pytest.mark.parametrize(
     "leaf, levels, comparisons, kept",
-    [(near_dedup.LEAF, near_dedup.MAX_LEVELS, near_dedup.COMPARISONS, near_dedup.KEPT_BYTES), (3, 2, 0, 0)],
+    [(near_dedup.LEAF, near_dedup.MAX_LEVELS, near_dedup.COMPARISONS, near_dedup.KEPT_BYTES), (3, 2, 0, 0), (3, 1, 0, 0)],
 )
 def test_near_duplicates(spark, monkeypatch, leaf, levels, comparisons, kept):
     monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", (leaf, levels))
