@@ -48,6 +48,8 @@ COMPARISONS = 2_000
 MAX_LEVELS = 10
 #: Sets that a task keeps while it confirms pairs, in bytes; then it starts afresh.
 KEPT_BYTES = 64 << 20
+#: Packed texts of up to so many bytes together are broadcast to their pairs; more are joined.
+BROADCAST_BYTES = 16 << 20
 #: Chance to find a pair at the threshold itself; more similar pairs have a higher one.
 TARGET_RECALL = 0.9999
 #: Deviations from the expected number of equal sketch tokens at which a pair is left out.
@@ -219,6 +221,10 @@ class _Join:
         ).select("k.*")
         chosen = restricted(self.texts, keys, ROW_KEY).select("text")
         texts = write_through(chosen.mapInArrow(_texts(self.width), "cls binary, packed binary"), "texts")
+        # Few texts in many pairs, as in a dense group: broadcast, so that no pair carries texts in a shuffle.
+        size = texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+        if size <= BROADCAST_BYTES:
+            texts = F.broadcast(texts)
         sides = pairs.join(texts.select(F.col("cls").alias("v"), F.col("packed").alias("packed_v")), "v").join(
             texts.select(F.col("cls").alias("u"), F.col("packed").alias("packed_u")), "u"
         )

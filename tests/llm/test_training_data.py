@@ -97,6 +97,8 @@ def test_near_duplicates(spark, monkeypatch, leaf, levels, comparisons, kept):
     monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", (leaf, levels))
     monkeypatch.setattr(near_dedup, "COMPARISONS", comparisons)
     monkeypatch.setattr(near_dedup, "KEPT_BYTES", kept)
+    if not kept:
+        monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", -1)
     rows = near_rows()
     found = near_dedup.near_duplicates(docs_of(spark, rows), width=2).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
