@@ -46,6 +46,11 @@ PIVOTS, PIVOT_EVERY = 3, 3
 #: comparisons for each class of the table, and at any cost after so many levels.
 COMPARISONS = 2_000
 MAX_LEVELS = 10
+#: Nodes of more classes than this are compared and confirmed block by block inside tasks;
+#: pairs of smaller ones are rows of a join.
+JOINED = 64
+#: Shingles of the classes of one block, about; with LEAF this bounds what a task holds.
+BLOCK_SHINGLES = 1 << 21
 #: Sets that a task keeps while it confirms pairs, in bytes; then it starts afresh.
 KEPT_BYTES = 64 << 20
 #: Packed texts of up to so many bytes together are broadcast to their pairs; more are joined.
@@ -208,6 +213,14 @@ class _Join:
         )
         return near
 
+    def packed_texts(self, keys: DataFrame) -> DataFrame:
+        """(cls, packed) of the texts at these places, each once."""
+        chosen = restricted(self.texts, keys, ROW_KEY).select("text")
+        texts = write_through(chosen.mapInArrow(_texts(self.width), "cls binary, packed binary"), "texts")
+        # Few texts in many pairs, as in a dense group: broadcast, so that no pair carries texts in a shuffle.
+        size = texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+        return F.broadcast(texts) if size <= BROADCAST_BYTES else texts
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs of classes, checked on full sets made from a text of each.
 
@@ -219,12 +232,7 @@ class _Join:
                 F.array(*[F.struct(*[F.col(f"{side}{c}").alias(c) for c in ROW_KEY]) for side in "uv"])
             ).alias("k")
         ).select("k.*")
-        chosen = restricted(self.texts, keys, ROW_KEY).select("text")
-        texts = write_through(chosen.mapInArrow(_texts(self.width), "cls binary, packed binary"), "texts")
-        # Few texts in many pairs, as in a dense group: broadcast, so that no pair carries texts in a shuffle.
-        size = texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            texts = F.broadcast(texts)
+        texts = self.packed_texts(keys)
         sides = pairs.join(texts.select(F.col("cls").alias("v"), F.col("packed").alias("packed_v")), "v").join(
             texts.select(F.col("cls").alias("u"), F.col("packed").alias("packed_u")), "u"
         )
@@ -298,25 +306,126 @@ def _pivot_pairs(join: _Join, rows: DataFrame, level: int) -> DataFrame:
     return _pairs(near, "p_", "")
 
 
-def _leaf_pairs(join: _Join, rows: DataFrame, leaf: int) -> DataFrame:
-    """Pairs of different components inside each node that may link.
+def _leaf_pairs(join: _Join, rows: DataFrame) -> DataFrame:
+    """Pairs of different components inside each node that may link."""
+    rows = rows.select("node", "cls", "label", *_CARRIED)
+    a = rows.select(*[F.col(c).alias(f"x_{c}" if c != "node" else c) for c in rows.columns])
+    b = rows.select(*[F.col(c).alias(f"y_{c}" if c != "node" else c) for c in rows.columns])
+    near = F.expr("x_cls < y_cls AND x_label <> y_label") & join.may_link("x_", "y_")
+    return _pairs(a.join(b, (a["node"] == b["node"]) & near), "x_", "y_")
+
 
-    A node of up to ``leaf`` classes is one block; the blocks of larger ones meet two by two,
-    and a block meets itself once. ``first``, where it isn't null, holds all nodes of a class:
-    classes that meet in several of them give their pair in the least one only.
+def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
+    """Rows of nodes dealt to pairs of blocks: ``key`` names the pair, ``block`` the own block.
+
+    The blocks of a node hold up to about ``leaf`` classes and BLOCK_SHINGLES shingles; they
+    meet two by two, and a block meets itself once.
     """
-    blocks = F.ceil(F.col("members") / leaf).cast("int")
+    sizes = rows.groupBy("node").agg(F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / leaf), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    rows = rows.select("node", "first", "cls", "label", *_CARRIED, block.alias("block"), other)
     ends = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(*rows.columns, F.xxhash64("node", *ends).alias("key"), (ends[0] == ends[1]).alias("alone"))
-    a = rows.select(*[F.col(c).alias(f"x_{c}" if c != "key" else c) for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"y_{c}" if c != "key" else c) for c in rows.columns])
-    near = join.may_link("x_", "y_")
-    once = F.expr("(x_block <> y_block OR x_alone) AND coalesce(array_min(array_intersect(x_first, y_first)) = x_node, true)")
-    on = (a["key"] == b["key"]) & F.expr("x_cls < y_cls AND x_label <> y_label") & near & once
-    return _pairs(a.join(b, on), "x_", "y_")
+    return (
+        rows.join(sizes, "node")
+        .select("node", "cls", "label", *_CARRIED, block.alias("block"), other)
+        .select(F.xxhash64("node", *ends).alias("key"), "block", "cls", "label", *_CARRIED)
+    )
+
+
+def _near(table: pa.Table, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block pair that may link and lie in different components.
+
+    The first place of a pair belongs to the component with fewer classes here.
+    """
+    block, n = table["block"].to_numpy(), table["n"].to_numpy()
+    label = _codes(table["label"]).to_numpy()
+    bits = np.stack([table[k].to_numpy().view(np.uint64) for k in _BITS], axis=1)
+    odd, one = np.uint64(0x5555555555555555), np.uint64(1)
+    both = block.min() != block.max()
+    left, right = [], []
+    for i in range(len(n)):
+        apart = bits[i + 1 :] ^ bits[i]
+        unequal = np.bitwise_count((apart | (apart >> one)) & odd).sum(axis=1)
+        size = n[i + 1 :]
+        good = (unequal <= limit) & (label[i + 1 :] != label[i])
+        good &= 100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i])
+        if both:
+            good &= block[i + 1 :] != block[i]
+        j = np.flatnonzero(good) + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    often = np.bincount(label)
+    rare = often[label[i]] <= often[label[j]]
+    return np.where(rare, i, j), np.where(rare, j, i)
+
+
+def _codes(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks).dictionary_encode().indices
+
+
+def _candidates(limit: int, percent: int):
+    """The rows of a block pair that may link to one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.take(np.unique(np.concatenate(_near(table, limit, percent))))
+
+    return run
+
+
+def _block_links(width: int, limit: int, percent: int):
+    """Confirmed links of a block pair: as many as connect what its links connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _near(table, limit, percent)
+        loosen = zstandard.ZstdDecompressor().decompress
+        texts = (loosen(x.as_py()).decode() for x in table["packed"])
+        sets = [next(shingle_sets(pa.array([t], pa.large_string()), width)) for t in texts]
+        vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        group = _codes(table["label"]).to_numpy().copy()
+        held = np.zeros(len(vocabulary), np.int64)
+        links = []
+        order = np.argsort(left, kind="stable")
+        firsts, cuts = np.unique(left[order], return_index=True)
+        for i, own in zip(firsts.tolist(), np.split(right[order], cuts[1:]), strict=True):
+            own = own[group[own] != group[i]]
+            if not len(own):
+                continue
+            mine = ids[starts[i] : starts[i] + size[i]]
+            held[mine] = 1
+            ends = np.cumsum(size[own])
+            spots = np.arange(ends[-1]) + np.repeat(starts[own] - ends + size[own], size[own])
+            common = np.add.reduceat(held[ids[spots]], ends - size[own])
+            held[mine] = 0
+            for j in own[100 * common >= percent * (size[i] + size[own] - common)].tolist():
+                if group[i] != group[j]:
+                    links.append((i, j))
+                    group[group == group[j]] = group[i]
+        u, v = (np.array([link[k] for link in links], np.int64) for k in (0, 1))
+        names = pa.concat_arrays(table["cls"].chunks)
+        return pa.table({"u": names.take(pa.array(u)), "v": names.take(pa.array(v))})
+
+    return run
+
+
+def _wide_links(join: _Join, rows: DataFrame, leaf: int) -> DataFrame:
+    """Links of different components inside large nodes.
+
+    The pairs of a dense group that just miss the threshold never become rows: one pass
+    over the sketches leaves the classes that may link in a block pair, a second one has their
+    texts and confirms them.
+    """
+    dealt = _blocks(rows, leaf)
+    kept = dealt.groupBy("key").applyInArrow(_candidates(join.limit, join.percent), dealt.schema)
+    kept = write_through(kept, "candidates")
+    sides = kept.join(join.packed_texts(kept.select(*ROW_KEY)), "cls").select(*dealt.columns, "packed")
+    links = sides.groupBy("key").applyInArrow(
+        _block_links(join.width, join.limit, join.percent), "u binary, v binary"
+    )
+    return write_through(links, "wide-links")
 
 
 def similar_classes(
@@ -343,15 +452,9 @@ def similar_classes(
         branches = BRANCHES if level < WIDE_LEVELS else 1
         rows = _next_rows(large.select("node", "cls"), classes, labels, branches)
     rest = _labelled(reduce(DataFrame.unionByName, leaves).drop("label"), labels)
-    if level == 1:  # no class has left a node, so the nodes of both say where a pair meets
-        wide = rest.where(F.col("members") > leaf)
-        own = restricted(classes.select("cls", "tokens"), wide, ["cls"])
-        wide = wide.join(own.select("cls", _first_nodes(tree_count(join.threshold)).alias("first")), "cls")
-        narrow = rest.where(F.col("members") <= leaf).withColumn("first", F.lit(None).cast("array<bigint>"))
-        rest = wide.unionByName(narrow)
-    else:
-        rest = rest.withColumn("first", F.lit(None).cast("array<bigint>"))
-    links.append(join.confirm(_leaf_pairs(join, rest, leaf)))
+    joined = min(JOINED, leaf)
+    links.append(join.confirm(_leaf_pairs(join, rest.where(F.col("members") <= joined))))
+    links.append(_wide_links(join, rest.where(F.col("members") > joined), leaf))
     return connected_components(reduce(DataFrame.unionByName, links))
 
 
