@@ -49,8 +49,8 @@ MAX_LEVELS = 10
 #: Nodes of more classes than this are compared and confirmed block by block inside tasks;
 #: pairs of smaller ones are rows of a join.
 JOINED = 64
-#: Shingles of the classes of one block, about; with LEAF this bounds what a task holds.
-BLOCK_SHINGLES = 1 << 21
+#: Classes of one block and their shingles, about; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 #: Sets that a task keeps while it confirms pairs, in bytes; then it starts afresh.
 KEPT_BYTES = 64 << 20
 #: Packed texts of up to so many bytes together are broadcast to their pairs; more are joined.
@@ -315,14 +315,14 @@ def _leaf_pairs(join: _Join, rows: DataFrame) -> DataFrame:
     return _pairs(a.join(b, (a["node"] == b["node"]) & near), "x_", "y_")
 
 
-def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
     """Rows of nodes dealt to pairs of blocks: ``key`` names the pair, ``block`` the own block.
 
-    The blocks of a node hold up to about ``leaf`` classes and BLOCK_SHINGLES shingles; they
+    The blocks of a node hold up to about BLOCK classes and BLOCK_SHINGLES shingles; they
     meet two by two, and a block meets itself once.
     """
     sizes = rows.groupBy("node").agg(F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / leaf), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     ends = F.least("block", "other"), F.greatest("block", "other")
@@ -333,32 +333,27 @@ def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
     )
 
 
-def _near(table: pa.Table, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a block pair that may link and lie in different components.
-
-    The first place of a pair belongs to the component with fewer classes here.
-    """
-    block, n = table["block"].to_numpy(), table["n"].to_numpy()
+def _rare_first(table: pa.Table) -> pa.Table:
+    """The rows of a block pair, those of components with fewer classes here first."""
     label = _codes(table["label"]).to_numpy()
+    return table.take(np.argsort(np.bincount(label)[label], kind="stable"))
+
+
+def _near(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each row and of the later ones that it may link to, in other components."""
+    block, n, label = table["block"].to_numpy(), table["n"].to_numpy(), _codes(table["label"]).to_numpy()
     bits = np.stack([table[k].to_numpy().view(np.uint64) for k in _BITS], axis=1)
     odd, one = np.uint64(0x5555555555555555), np.uint64(1)
     both = block.min() != block.max()
-    left, right = [], []
-    for i in range(len(n)):
-        apart = bits[i + 1 :] ^ bits[i]
-        unequal = np.bitwise_count((apart | (apart >> one)) & odd).sum(axis=1)
+    for i in range(len(n) - 1):
         size = n[i + 1 :]
-        good = (unequal <= limit) & (label[i + 1 :] != label[i])
-        good &= 100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i])
+        good = (label[i + 1 :] != label[i]) & (100 * np.minimum(size, n[i]) >= percent * np.maximum(size, n[i]))
         if both:
             good &= block[i + 1 :] != block[i]
-        j = np.flatnonzero(good) + i + 1
-        left.append(np.full(len(j), i))
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    often = np.bincount(label)
-    rare = often[label[i]] <= often[label[j]]
-    return np.where(rare, i, j), np.where(rare, j, i)
+        later = np.flatnonzero(good) + i + 1
+        apart = bits[later] ^ bits[i]
+        unequal = np.bitwise_count((apart | (apart >> one)) & odd).sum(axis=1)
+        yield i, later[unequal <= limit]
 
 
 def _codes(column: pa.ChunkedArray) -> pa.Array:
@@ -369,7 +364,11 @@ def _candidates(limit: int, percent: int):
     """The rows of a block pair that may link to one of another component."""
 
     def run(table: pa.Table) -> pa.Table:
-        return table.take(np.unique(np.concatenate(_near(table, limit, percent))))
+        found = np.zeros(len(table), bool)
+        for i, later in _near(table, limit, percent):
+            found[later] = True
+            found[i] |= len(later) > 0
+        return table.filter(pa.array(found))
 
     return run
 
@@ -378,7 +377,7 @@ def _block_links(width: int, limit: int, percent: int):
     """Confirmed links of a block pair: as many as connect what its links connect."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right = _near(table, limit, percent)
+        table = _rare_first(table)
         loosen = zstandard.ZstdDecompressor().decompress
         texts = (loosen(x.as_py()).decode() for x in table["packed"])
         sets = [next(shingle_sets(pa.array([t], pa.large_string()), width)) for t in texts]
@@ -388,9 +387,7 @@ def _block_links(width: int, limit: int, percent: int):
         group = _codes(table["label"]).to_numpy().copy()
         held = np.zeros(len(vocabulary), np.int64)
         links = []
-        order = np.argsort(left, kind="stable")
-        firsts, cuts = np.unique(left[order], return_index=True)
-        for i, own in zip(firsts.tolist(), np.split(right[order], cuts[1:]), strict=True):
+        for i, own in _near(table, limit, percent):
             own = own[group[own] != group[i]]
             if not len(own):
                 continue
@@ -411,14 +408,14 @@ def _block_links(width: int, limit: int, percent: int):
     return run
 
 
-def _wide_links(join: _Join, rows: DataFrame, leaf: int) -> DataFrame:
+def _wide_links(join: _Join, rows: DataFrame) -> DataFrame:
     """Links of different components inside large nodes.
 
     The pairs of a dense group that just miss the threshold never become rows: one pass
     over the sketches leaves the classes that may link in a block pair, a second one has their
     texts and confirms them.
     """
-    dealt = _blocks(rows, leaf)
+    dealt = _blocks(rows)
     kept = dealt.groupBy("key").applyInArrow(_candidates(join.limit, join.percent), dealt.schema)
     kept = write_through(kept, "candidates")
     sides = kept.join(join.packed_texts(kept.select(*ROW_KEY)), "cls").select(*dealt.columns, "packed")
@@ -454,7 +451,7 @@ def similar_classes(
     rest = _labelled(reduce(DataFrame.unionByName, leaves).drop("label"), labels)
     joined = min(JOINED, leaf)
     links.append(join.confirm(_leaf_pairs(join, rest.where(F.col("members") <= joined))))
-    links.append(_wide_links(join, rest.where(F.col("members") > joined), leaf))
+    links.append(_wide_links(join, rest.where(F.col("members") > joined)))
     return connected_components(reduce(DataFrame.unionByName, links))
 
 
