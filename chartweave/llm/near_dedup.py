@@ -441,7 +441,7 @@ def similar_classes(
         last = level == levels or comparisons <= affordable
         leaves.append(met if last else met.where(F.col("members") <= leaf))
         if (level - 1) % PIVOT_EVERY == 0:
-            crowded = met.where(F.col("members") > min(PIVOT_FROM, leaf))
+            crowded = met.where(F.col("members") > PIVOT_FROM)
             links.append(join.confirm(_pivot_pairs(join, crowded, level)))
             labels = write_through(connected_components(reduce(DataFrame.unionByName, links)), "labels")
         if last:

@@ -91,7 +91,7 @@ def near_rows():
 
 @pytest.mark.parametrize(
     "leaf, levels, comparisons, kept",
-    [(near_dedup.LEAF, near_dedup.MAX_LEVELS, near_dedup.COMPARISONS, near_dedup.KEPT_BYTES), (3, 2, 0, 0), (3, 1, 0, 0)],
+    [(near_dedup.LEAF, near_dedup.MAX_LEVELS, near_dedup.COMPARISONS, near_dedup.KEPT_BYTES), (3, 2, 0, 0), (1, 1, 0, 0)],
 )
 def test_near_duplicates(spark, monkeypatch, leaf, levels, comparisons, kept):
     monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", (leaf, levels))
@@ -99,6 +99,10 @@ def test_near_duplicates(spark, monkeypatch, leaf, levels, comparisons, kept):
     monkeypatch.setattr(near_dedup, "KEPT_BYTES", kept)
     if not kept:
         monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    if levels == 1:  # no pivots: all links of crowded nodes are found inside blocks
+        monkeypatch.setattr(near_dedup, "PIVOT_FROM", 10**9)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
     rows = near_rows()
     found = near_dedup.near_duplicates(docs_of(spark, rows), width=2).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
