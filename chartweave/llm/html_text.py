@@ -29,9 +29,11 @@ INLINE = set(
 )
 PROSE = set("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption caption".split())
 ROLES = set("navigation banner contentinfo complementary search menu menubar toolbar dialog alert".split())
-#: Words of a class or id that mark parts beside the article.
+#: Words of a class or id that mark parts beside the article. After has-, with- or no- they
+#: only tell the layout of a container.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|byline|comments?|cookies?|consent|disqus|footer|"
+    r"(?<!\S)(?:(?!(?:has|with|no)[_-])[^\s_-]*+[_-])*"
+    r"(?:ads?|advert\w*|adbox|banner|breadcrumbs?|byline|comments?|cookies?|consent|disqus|footer|"
     r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|"
     r"related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -46,7 +48,10 @@ _TAG = re.compile(
     r"|<[a-zA-Z][^>]*+\Z",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute after another: its name, then a value if there is one; an open quote takes the rest.
+_ATTRIBUTE = re.compile(
+    r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)))?"
+)
 _DIGITS = re.compile(r"\d+")
 
 
@@ -59,10 +64,13 @@ class _Element:
 
 def _marks(attributes: str) -> tuple[str, bool]:
     """The generalised classes of an element, and whether it stands beside the article."""
-    classes, beside = "", False
+    classes, beside, met = "", False, set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
+        if name in met:  # the first one counts
+            continue
+        met.add(name)
         if name == "class":
             classes = ".".join(_DIGITS.sub("#", value).split())
         if name in ("class", "id"):

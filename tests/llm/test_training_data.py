@@ -189,6 +189,29 @@ def test_host_path_wins_over_own_best():
     assert html_text.main_text(short, "/body/article").startswith("Much longer")
 
 
+@pytest.mark.parametrize(
+    ("attributes", "shown"),
+    [
+        ('style="overflow:hidden"', True),
+        ('title="hidden gems"', True),
+        ('title="my hidden gems', True),
+        ('data-id="sidebar-1" data-class=menu', True),
+        ('class="content has-sidebar"', True),
+        ("class='with-left-sidebar no_menu'", True),
+        ('class="a" class="menu"', True),
+        ("hidden", False),
+        ('style="x"hidden=""', False),
+        ('data-x="id" ID = sidebar-1', False),
+        ('class="content header-inner"', False),
+        ('class="has-sidebar main-sidebar"', False),
+        ("title='class=\"a\"' role=navigation", False),
+    ],
+)
+def test_only_real_attributes_hide(attributes, shown):
+    page = f"<body><div {attributes}><p>Long words of the article.</p></div><p>End.</p>"
+    assert ("Long words of the article." in [t for _, t in html_text.blocks(page)]) == shown
+
+
 def test_urls(spark):
     urls = [
         "http://Blog.Example.net/en/1?x", "http://example.net/fr/1", "http://a.example.com/de/", "http://x.example.com/dex",
