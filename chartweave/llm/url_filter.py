@@ -2,10 +2,10 @@
 
 A unigram model of words (counted by Spark over all page titles and URLs) splits the
 names of a host into their likeliest words by Viterbi search. Naive Bayes scores the words of the host
-and the tokens of the path. It learns from a bounded sample of URLs that seed words
+and the tokens of the path. It learns the likelihood of tokens from a bounded sample of URLs that seed words
 mark: a URL is a positive example if a hyphen- or dot-separated part of its host is a
 seed, so the model extends the seeds to words that occur with them, and the segmentation
-extends it to names written together.
+extends it to names written together. The prior is the share of marked URLs among all distinct ones.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SEEDS = (
 ).split()
 #: Words of the unigram model: the most frequent ones, after counting all.
 VOCABULARY = 50_000
-#: Examples of each class for naive Bayes, chosen by a hash of the URL.
+#: Examples of each class for the tokens of naive Bayes, chosen by a hash of the URL.
 EXAMPLES = 20_000
 LONGEST_WORD = 24
 #: Hosts whose score a worker keeps.
@@ -97,13 +97,13 @@ def path_tokens(path: str) -> list[str]:
 
 
 class UrlModel:
-    def __init__(self, segmenter: Segmenter, rows: list) -> None:
+    def __init__(self, segmenter: Segmenter, rows: list, urls: dict[bool, int]) -> None:
+        """``rows``: counts of tokens in the sample; ``urls``: distinct URLs of each class in all rows."""
         self.segmenter = segmenter
-        words = {r["token"] for r in rows if r["token"] is not None}
-        totals = {c: sum(r["n"] for r in rows if r["bad"] == c and r["token"] is not None) for c in (False, True)}
-        urls = {c: sum(r["n"] for r in rows if r["bad"] == c and r["token"] is None) for c in (False, True)}
+        words = {r["token"] for r in rows}
+        totals = {c: sum(r["n"] for r in rows if r["bad"] == c) for c in (False, True)}
         counts = {(r["bad"], r["token"]): r["n"] for r in rows}
-        self.prior = math.log((urls[True] + 1) / (urls[False] + 1))
+        self.prior = math.log((urls.get(True, 0) + 1) / (urls.get(False, 0) + 1))
         base = math.log((totals[False] + len(words) + 1) / (totals[True] + len(words) + 1))
         self.weights = {
             w: base + math.log((counts.get((True, w), 0) + 1) / (counts.get((False, w), 0) + 1)) for w in words
@@ -148,7 +148,7 @@ def _judged(model: UrlModel):
 
 
 def fit_url_model(pages: DataFrame, url: str = "url", markup: str = "html", seeds=SEEDS) -> UrlModel:
-    """Count words over all pages, then learn from at most EXAMPLES URLs of each class."""
+    """Count words and URLs over all pages, then learn tokens from at most EXAMPLES URLs of each class."""
     row = F.col("row")
     rows = packed(pages).select(
         host_of(row[url]).alias("host"),
@@ -169,6 +169,8 @@ def fit_url_model(pages: DataFrame, url: str = "url", markup: str = "html", seed
     segmenter = Segmenter(vocabulary)
     marked = F.col("host").rlike(rf"(^|[.-])({'|'.join(map(re.escape, seeds))})([.-])")
     urls = rows.select("host", "path", marked.alias("bad")).where(F.col("host") != "").distinct()
+    urls = write_through(urls, "urls")
+    shares = {r["bad"]: r["n"] for r in urls.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     hashed = urls.select("bad", F.struct(F.xxhash64("host", "path").alias("h"), "host", "path").alias("u"))
     picked = hashed.where(F.col("bad")).orderBy("u").limit(EXAMPLES).unionByName(
         hashed.where(~F.col("bad")).orderBy("u").limit(EXAMPLES)
@@ -177,10 +179,8 @@ def fit_url_model(pages: DataFrame, url: str = "url", markup: str = "html", seed
         picked.select("bad", "u.host", "u.path").mapInArrow(_tokens(segmenter), "bad boolean, tokens array<string>"),
         "url-tokens",
     )
-    seen = sample.select("bad", F.explode("tokens").alias("token")).unionByName(
-        sample.select("bad", F.lit(None).cast("string").alias("token"))
-    )
-    return UrlModel(segmenter, seen.groupBy("bad", "token").agg(F.count(F.lit(1)).alias("n")).collect())
+    seen = sample.select("bad", F.explode("tokens").alias("token"))
+    return UrlModel(segmenter, seen.groupBy("bad", "token").agg(F.count(F.lit(1)).alias("n")).collect(), shares)
 
 
 def judge_urls(

@@ -230,6 +230,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_url_prior_counts_all_urls(spark, monkeypatch):
+    train = [f"http://casino-win{i}.com/play" for i in range(10)] + [f"http://garden{i}.com/rose" for i in range(90)]
+    rows = [(i, u, "<title>casino win garden</title>") for i, u in enumerate(train + train[:50])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(url_filter, "EXAMPLES", 10)
+    model = url_filter.fit_url_model(frame)
+    assert model.prior == pytest.approx(np.log(11 / 91))
+    assert url_filter.fit_url_model(frame.limit(0)).prior == 0
+
+
 def test_quality(spark):
     dice = random.Random(1)
     rows = [(i, " ".join(dice.choice(["tree", "runs", "home", "of", "light"]) for _ in range(60)) + ".") for i in range(60)]
