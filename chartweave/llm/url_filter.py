@@ -1,7 +1,8 @@
 """URL verdicts: rules first, then host word segmentation and multinomial naive Bayes.
 
-A unigram model of words (counted by Spark over all page titles and URLs) splits the
-names of a host into their likeliest words by Viterbi search. Naive Bayes scores the words of the host
+A unigram model of all words (counted by Spark over all page titles and URLs) splits the
+names of a host into their likeliest words by Viterbi search. Each distinct name is split once, by
+the counts of those words that it holds: its substrings are joined to the counts. Naive Bayes scores the words of the host
 and the tokens of the path. It learns the likelihood of tokens from a bounded sample of URLs that seed words
 mark: a URL is a positive example if a hyphen- or dot-separated part of its host is a
 seed, so the model extends the seeds to words that occur with them, and the segmentation
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,13 +33,13 @@ RULES = (
 SEEDS = (
     "adult ads bet bets betting casino escort gambling malware phishing pills poker porn spam track tracker viagra xxx"
 ).split()
-#: Words of the unigram model: the most frequent ones, after counting all.
-VOCABULARY = 50_000
 #: Examples of each class for the tokens of naive Bayes, chosen by a hash of the URL.
 EXAMPLES = 20_000
 LONGEST_WORD = 24
-#: Hosts whose score a worker keeps.
-KEPT_HOSTS = 100_000
+#: Substrings of names in one batch.
+BATCH = 20_000
+#: Characters of host names that may be broadcast with their scores; more are joined.
+BROADCAST_CHARS = 8 << 20
 _PREFIX = {"www", "m", "blog"}
 
 
@@ -59,8 +61,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Likeliest words of a concatenated name under a unigram model."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self._total = math.log(sum(counts.values()) + 1)
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        """``total``: the sum of all counts, if ``counts`` has only some words."""
+        self._total = math.log((sum(counts.values()) if total is None else total) + 1)
         self._cost = {w: self._total - math.log(n) for w, n in counts.items()}
 
     def _word(self, word: str) -> float:
@@ -82,13 +85,10 @@ class Segmenter:
         return words[::-1]
 
 
-def host_tokens(segmenter: Segmenter, host: str) -> list[str]:
-    """Words of all parts of a host name but its last one (the top-level domain)."""
+def host_names(host: str) -> list[str]:
+    """The hyphen-separated names of all parts of a host but its last one (the top-level domain)."""
     parts = re.split(r"[^a-z0-9\x80-\U0010ffff-]+", host)
-    names = [n for p in (parts[:-1] if len(parts) > 1 else parts) for n in p.split("-") if n and n not in _PREFIX]
-    return [f"h:{w}" for n in names for w in segmenter.split(n[:256])] + (
-        [f"h:{n[256:]}" for n in names if len(n) > 256]
-    )
+    return [n for p in (parts[:-1] if len(parts) > 1 else parts) for n in p.split("-") if n and n not in _PREFIX]
 
 
 def path_tokens(path: str) -> list[str]:
@@ -97,9 +97,10 @@ def path_tokens(path: str) -> list[str]:
 
 
 class UrlModel:
-    def __init__(self, segmenter: Segmenter, rows: list, urls: dict[bool, int]) -> None:
-        """``rows``: counts of tokens in the sample; ``urls``: distinct URLs of each class in all rows."""
-        self.segmenter = segmenter
+    def __init__(self, hosts: DataFrame, rows: list, urls: dict[bool, int]) -> None:
+        """``hosts``: the words of each host; ``rows``: counts of tokens in the sample; ``urls``:
+        distinct URLs of each class in all rows."""
+        self.hosts = hosts
         words = {r["token"] for r in rows}
         totals = {c: sum(r["n"] for r in rows if r["bad"] == c) for c in (False, True)}
         counts = {(r["bad"], r["token"]): r["n"] for r in rows}
@@ -108,45 +109,122 @@ class UrlModel:
         self.weights = {
             w: base + math.log((counts.get((True, w), 0) + 1) / (counts.get((False, w), 0) + 1)) for w in words
         }
-        self._hosts: dict[str, float] = {}
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds that the URL is unwanted; unknown tokens say nothing."""
-        own = self._hosts.get(host)
-        if own is None:
-            if len(self._hosts) >= KEPT_HOSTS:
-                self._hosts.clear()
-            own = sum(self.weights.get(t, 0.0) for t in host_tokens(self.segmenter, host))
-            self._hosts[host] = own
-        return self.prior + own + sum(self.weights.get(t, 0.0) for t in path_tokens(path))
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [host_names(h) for h in batch.column("host").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), pa.array(names, pa.list_(pa.string()))], names=["host", "names"]
+        )
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, word): the substrings of each name that may be words."""
+
+    def pieces(name: str) -> Iterator[str]:
+        for run in re.finditer(r"[^0-9]+", name):  # words have no digits
+            for start in range(*run.span()):
+                for end in range(start + 1, min(start + LONGEST_WORD, run.end()) + 1):
+                    yield name[start:end]
+
+    for batch in batches:
+        for name in batch.column("name").to_pylist():
+            own = pieces(name)
+            while words := set(islice(own, BATCH)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(words)), pa.array(list(words))], names=["name", "word"]
+                )
+
+
+def _split(total: int):
+    """(name, words): the likeliest words of each name, from the counts of those that it holds."""
 
-def _tokens(segmenter: Segmenter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [
-                host_tokens(segmenter, h) + path_tokens(p)
-                for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
+            words = [
+                Segmenter({f["word"]: f["n"] for f in found}, total).split(name[:256]) + [x for x in (name[256:],) if x]
+                for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("bad"), pa.array(tokens, pa.list_(pa.string()))], names=["bad", "tokens"]
+                [batch.column("name"), pa.array(words, pa.list_(pa.string()))], names=["name", "words"]
             )
 
     return run
 
 
-def _judged(model: UrlModel):
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [
+            [f"h:{w}" for w in words] + path_tokens(p)
+            for words, p in zip(batch.column("words").to_pylist(), batch.column("path").to_pylist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("bad"), pa.array(tokens, pa.list_(pa.string()))], names=["bad", "tokens"]
+        )
+
+
+def _weighed(weights: dict[str, float], column: str, result: str, tokens):
+    """All columns, and as ``result`` the weight of the tokens of one; unknown tokens say nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            scores = [model.score(h, p) for h, p in zip(hosts, paths, strict=True)]
+            own = [sum((weights.get(t, 0.0) for t in tokens(x)), 0.0) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"]
+                [*batch.columns, pa.array(own, pa.float64())], names=[*batch.schema.names, result]
             )
 
     return run
 
 
+def word_counts(rows: DataFrame, seeds=SEEDS) -> tuple[DataFrame, int]:
+    """(word, n) of all words of hosts, paths and titles, and the sum of n."""
+    words = F.split(F.lower(F.concat_ws(" ", "host", "path", "title")), r"[^\p{L}]+")
+    counts = (
+        rows.select(F.explode(words).alias("word"))
+        .where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = write_through(counts, "words")
+    most = counts.agg(F.max("n")).first()[0] or 1
+    # Seeds are ordinary words, however rare here.
+    least = math.ceil(most / 1000)
+    own = counts.sparkSession.createDataFrame([(s, least) for s in sorted(set(seeds))], "word string, n long")
+    counts = counts.unionByName(own).groupBy("word").agg(F.max("n").alias("n"))
+    return counts, counts.agg(F.sum("n")).first()[0] or 0
+
+
+def host_words(hosts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(host, words): the likeliest words of the names of each host, in order."""
+    places = hosts.mapInArrow(_named, "host string, names array<string>").select(
+        "host", F.posexplode_outer("names").alias("place", "name")
+    )
+    places = write_through(places, "host-names")
+    names = places.where(F.col("name").isNotNull()).select("name").distinct()
+    grams = names.mapInArrow(_substrings, "name string, word string").join(counts, "word")
+    found = grams.select("name", F.struct("word", "n").alias("f")).unionByName(
+        names.select("name", F.lit(None).cast("struct<word:string,n:bigint>").alias("f"))
+    )
+    split = (
+        found.groupBy("name")
+        .agg(F.collect_set("f").alias("found"))
+        .mapInArrow(_split(total), "name string, words array<string>")
+    )
+    # A place without names has no words; the others are put in order.
+    parts = places.join(split, "name", "left").groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("place", "words"))).alias("parts")
+    )
+    no_words = F.array().cast("array<string>")
+    words = F.flatten(F.transform("parts", lambda p: F.coalesce(p["words"], no_words)))
+    return parts.select("host", words.alias("words"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    chars = table.agg(F.sum(F.length("host") + 64)).first()[0] or 0
+    return F.broadcast(table) if chars <= BROADCAST_CHARS else table
+
+
 def fit_url_model(pages: DataFrame, url: str = "url", markup: str = "html", seeds=SEEDS) -> UrlModel:
     """Count words and URLs over all pages, then learn tokens from at most EXAMPLES URLs of each class."""
     row = F.col("row")
@@ -155,32 +233,25 @@ def fit_url_model(pages: DataFrame, url: str = "url", markup: str = "html", seed
         path_of(row[url]).alias("path"),
         F.regexp_extract(F.coalesce(row[markup].cast("string"), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"),
     )
-    words = F.split(F.lower(F.concat_ws(" ", "host", "path", "title")), r"[^\p{L}]+")
-    counts = (
-        rows.select(F.explode(words).alias("word"))
-        .where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    vocabulary = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
-    most = max(vocabulary.values(), default=1)
-    for seed in seeds:  # seeds are ordinary words, however rare here
-        vocabulary[seed] = max(vocabulary.get(seed, 0), math.ceil(most / 1000))
-    segmenter = Segmenter(vocabulary)
+    counts, total = word_counts(rows, seeds)
     marked = F.col("host").rlike(rf"(^|[.-])({'|'.join(map(re.escape, seeds))})([.-])")
     urls = rows.select("host", "path", marked.alias("bad")).where(F.col("host") != "").distinct()
     urls = write_through(urls, "urls")
     shares = {r["bad"]: r["n"] for r in urls.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hosts = write_through(host_words(urls.select("host").distinct(), counts, total), "host-words")
     hashed = urls.select("bad", F.struct(F.xxhash64("host", "path").alias("h"), "host", "path").alias("u"))
     picked = hashed.where(F.col("bad")).orderBy("u").limit(EXAMPLES).unionByName(
         hashed.where(~F.col("bad")).orderBy("u").limit(EXAMPLES)
     )
     sample = write_through(
-        picked.select("bad", "u.host", "u.path").mapInArrow(_tokens(segmenter), "bad boolean, tokens array<string>"),
+        picked.select("bad", "u.host", "u.path")
+        .join(_small(hosts), "host")
+        .select("bad", "path", "words")
+        .mapInArrow(_tokens, "bad boolean, tokens array<string>"),
         "url-tokens",
     )
     seen = sample.select("bad", F.explode("tokens").alias("token"))
-    return UrlModel(segmenter, seen.groupBy("bad", "token").agg(F.count(F.lit(1)).alias("n")).collect(), shares)
+    return UrlModel(hosts, seen.groupBy("bad", "token").agg(F.count(F.lit(1)).alias("n")).collect(), shares)
 
 
 def judge_urls(
@@ -198,7 +269,21 @@ def judge_urls(
         F.col("row")[page_id].alias("page_id"), host_of(F.col("row")[url]).alias("host"), path_of(F.col("row")[url]).alias("path")
     )
     kind = dict(rows.dtypes)["page_id"]
-    judged = rows.mapInArrow(_judged(model), f"page_id {kind}, host string, path string, score double")
+    of_hosts = write_through(
+        model.hosts.mapInArrow(
+            _weighed(model.weights, "words", "own", lambda words: [f"h:{w}" for w in words]),
+            "host string, words array<string>, own double",
+        ).select("host", "own"),
+        "host-scores",
+    )
+    judged = (
+        rows.mapInArrow(
+            _weighed(model.weights, "path", "rest", path_tokens),
+            f"page_id {kind}, host string, path string, rest double",
+        )
+        .join(_small(of_hosts), "host", "left")
+        .withColumn("score", F.lit(model.prior) + F.coalesce("own", F.lit(0.0)) + F.col("rest"))
+    )
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return judged.select(
         "page_id",

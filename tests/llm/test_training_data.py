@@ -240,6 +240,23 @@ def test_url_prior_counts_all_urls(spark, monkeypatch):
     assert url_filter.fit_url_model(frame.limit(0)).prior == 0
 
 
+def test_url_words_beyond_any_cap(spark):
+    """Every word of the corpus counts for segmentation, in one model of all words."""
+    digits = "bcdfghjklm"
+    rare = ["".join(digits[int(d)] for d in str(i)) + "q" for i in range(100_000, 160_000)]
+    rows = [(i, None, f"<title>{' '.join(rare[i::60] * 2)}</title>") for i in range(60)]
+    rare_name = ["zzzebrawood", "zzoceanside", "zzmountains"]
+    rows += [(100, f"http://{''.join(rare_name)}.m-b.com", f"<title>{' '.join(rare_name)}</title>")]
+    rows += [(101, "http://Garden7ocean.é漢.b.com", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: r.words for r in url_filter.fit_url_model(frame).hosts.collect()}
+    assert found["".join(rare_name) + ".m-b.com"] == [*rare_name, "b"]
+    counts = dict.fromkeys(rare, 2) | dict.fromkeys([*rare_name, *"garden ocean é漢 m".split(), *url_filter.SEEDS], 1) | {"b": 2, "com": 2}
+    names = ["garden7ocean", "é漢", "b"]
+    model = url_filter.Segmenter(counts)
+    assert found["garden7ocean.é漢.b.com"] == [w for n in names for w in model.split(n)]
+
+
 def test_quality(spark):
     dice = random.Random(1)
     rows = [(i, " ".join(dice.choice(["tree", "runs", "home", "of", "light"]) for _ in range(60)) + ".") for i in range(60)]
