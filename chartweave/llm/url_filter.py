@@ -36,6 +36,8 @@ SEEDS = (
 #: Examples of each class for the tokens of naive Bayes, chosen by a hash of the URL.
 EXAMPLES = 20_000
 LONGEST_WORD = 24
+#: Names of up to so many characters go with their substrings; of longer ones a digest does (no name has a dot).
+LONGEST_NAME = 64
 #: Substrings of names in one batch.
 BATCH = 20_000
 #: Characters of host names that may be broadcast with their scores; more are joined.
@@ -120,7 +122,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, word): the substrings of each name that may be words."""
+    """(key, word): the substrings of each name that may be words."""
 
     def pieces(name: str) -> Iterator[str]:
         for run in re.finditer(r"[^0-9]+", name):  # words have no digits
@@ -129,11 +131,11 @@ def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield name[start:end]
 
     for batch in batches:
-        for name in batch.column("name").to_pylist():
+        for key, name in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist(), strict=True):
             own = pieces(name)
             while words := set(islice(own, BATCH)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(words)), pa.array(list(words))], names=["name", "word"]
+                    [pa.array([key] * len(words)), pa.array(list(words))], names=["key", "word"]
                 )
 
 
@@ -143,7 +145,7 @@ def _split(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [
-                Segmenter({f["word"]: f["n"] for f in found}, total).split(name[:256]) + [x for x in (name[256:],) if x]
+                Segmenter({f["word"]: f["n"] for f in found}, total).split(name)
                 for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
@@ -201,14 +203,17 @@ def host_words(hosts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
         "host", F.posexplode_outer("names").alias("place", "name")
     )
     places = write_through(places, "host-names")
-    names = places.where(F.col("name").isNotNull()).select("name").distinct()
-    grams = names.mapInArrow(_substrings, "name string, word string").join(counts, "word")
-    found = grams.select("name", F.struct("word", "n").alias("f")).unionByName(
-        names.select("name", F.lit(None).cast("struct<word:string,n:bigint>").alias("f"))
+    # Substrings of a long name carry its digest, not the name.
+    key = F.when(F.length("name") <= LONGEST_NAME, F.col("name")).otherwise(F.concat(F.sha2("name", 256), F.lit(".")))
+    names = places.where(F.col("name").isNotNull()).select("name").distinct().select(key.alias("key"), "name")
+    grams = names.mapInArrow(_substrings, "key string, word string").join(counts, "word")
+    found = grams.select("key", F.lit(None).cast("string").alias("name"), F.struct("word", "n").alias("f")).unionByName(
+        names.select("key", "name", F.lit(None).cast("struct<word:string,n:bigint>").alias("f"))
     )
     split = (
-        found.groupBy("name")
-        .agg(F.collect_set("f").alias("found"))
+        found.groupBy("key")
+        .agg(F.max("name").alias("name"), F.collect_set("f").alias("found"))
+        .select("name", "found")
         .mapInArrow(_split(total), "name string, words array<string>")
     )
     # A place without names has no words; the others are put in order.

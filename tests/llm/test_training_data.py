@@ -257,6 +257,14 @@ def test_url_words_beyond_any_cap(spark):
     assert found["garden7ocean.é漢.b.com"] == [w for n in names for w in model.split(n)]
 
 
+def test_long_host_names_are_split_whole(spark):
+    name = "garden" * 50 + "casino"
+    rows = [(i, f"http://{u}.com/", "<title>casino garden</title>") for i, u in enumerate([name, "garden-casino"])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: r.words for r in url_filter.fit_url_model(frame).hosts.collect()}
+    assert found[f"{name}.com"] == ["garden"] * 50 + ["casino"] and found["garden-casino.com"] == ["garden", "casino"]
+
+
 def test_quality(spark):
     dice = random.Random(1)
     rows = [(i, " ".join(dice.choice(["tree", "runs", "home", "of", "light"]) for _ in range(60)) + ".") for i in range(60)]
