@@ -7,7 +7,9 @@ child named by its token at each position. Classes that are similar stay togethe
 down some path of most trees; others part. Small nodes are compared exhaustively; large
 ones meet a few pivots and branch again, or are compared in blocks as soon as all of
 them together take a bounded number of comparisons for each class. Independent trees
-are repeated until the chance to part a pair at the threshold is under the target.
+are repeated until the chance to part a pair at the threshold is under the target: the
+first ones suffice for the levels that branch twice; classes of nodes that went deeper get
+further trees, by the depth that was reached.
 
 Two classes that verified links already connect need no comparison, which is what
 keeps groups of thousands of near copies linear: the pivots connect them, and only
@@ -68,16 +70,44 @@ _BITS = ["b0", "b1", "b2", "b3"]
 _CARRIED = ["n", "__file", "__row", *_BITS]
 
 
-def tree_count(threshold: float, recall: float = TARGET_RECALL) -> int:
-    """Trees that reach the target recall for a pair at the threshold.
+def kept_by_tree(threshold: float, levels: int) -> float:
+    """Chance that one tree of so many levels keeps a pair at the threshold together.
 
-    A pair survives a level with chance q = 1 - (1 - threshold * q) ** 2 of the next;
-    the fixed point bounds what a tree of any depth keeps.
+    What is left after a level that branches k times is 1 - (1 - threshold * q) ** k, if q is
+    what the levels below it keep.
     """
     kept = 1.0
-    for _ in range(200):
-        kept = 1 - (1 - threshold * kept) ** BRANCHES
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept)))
+    for level in range(levels, 0, -1):
+        kept = 1 - (1 - threshold * kept) ** (BRANCHES if level <= WIDE_LEVELS else 1)
+    return kept
+
+
+def tree_count(threshold: float, missed: float = 1 - TARGET_RECALL, levels: int = WIDE_LEVELS) -> int:
+    """Trees of so many levels that all part a pair at the threshold with at most this chance.
+
+    Up to WIDE_LEVELS the fixed point of the levels that branch twice bounds them all, so that the
+    trees of shallow nodes leave most of the target to deeper ones.
+    """
+    kept = kept_by_tree(threshold, levels)
+    if levels <= WIDE_LEVELS:
+        for _ in range(200):
+            kept = 1 - (1 - threshold * kept) ** BRANCHES
+    return max(1, math.ceil(math.log(missed) / math.log(1 - kept)))
+
+
+def more_trees(threshold: float, grown: list[tuple[int, int]]) -> int:
+    """Trees that are still missing for the target, after some (trees, levels).
+
+    The chance that the first trees part a pair before the deep levels counts too: such a
+    pair may have no further trees.
+    """
+    early = (1 - kept_by_tree(threshold, WIDE_LEVELS)) ** grown[0][0]
+    allowed = max(1 - TARGET_RECALL - early, (1 - TARGET_RECALL) / 2)
+    missed = math.prod((1 - kept_by_tree(threshold, levels)) ** trees for trees, levels in grown)
+    deepest = max(levels for _, levels in grown)
+    if deepest <= WIDE_LEVELS or missed <= allowed:
+        return 0
+    return tree_count(threshold, allowed / missed, deepest)
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
@@ -244,16 +274,16 @@ class _Join:
         )
 
 
-def _first_nodes(trees: int) -> Column:
-    """The nodes of a class on the first level of all trees."""
-    spots = [(t, b, (BRANCHES * t + b) * 37 % POSITIONS) for t in range(trees) for b in range(BRANCHES)]
+def _first_nodes(trees: range) -> Column:
+    """The nodes of a class on the first level of these trees."""
+    spots = [(t, b, (BRANCHES * t + b) * 37 % POSITIONS) for t in trees for b in range(BRANCHES)]
     nodes = [F.xxhash64(F.lit(t), F.lit(b), F.col("tokens")[p]) for t, b, p in spots]
     return F.array_distinct(F.array(*nodes))
 
 
-def _first_rows(classes: DataFrame, trees: int) -> DataFrame:
+def _first_rows(classes: DataFrame, trees: range, labels: DataFrame | None = None) -> DataFrame:
     nodes = F.explode(_first_nodes(trees)).alias("node")
-    return classes.select(nodes, "cls", F.col("cls").alias("label"), *_CARRIED)
+    return _labelled(classes.select(nodes, "cls", *_CARRIED), labels)
 
 
 def _next_rows(large: DataFrame, classes: DataFrame, labels: DataFrame | None, branches: int) -> DataFrame:
@@ -431,10 +461,45 @@ def similar_classes(
     """(vertex, label) of all classes that have a link; see the module's text."""
     join = _Join(texts, classes, width, percent)
     affordable = COMPARISONS * classes.count()
-    rows = _first_rows(classes, tree_count(join.threshold))
-    links, labels, leaves = [], None, []
+    links: list[DataFrame] = []
+    grown: list[tuple[int, int]] = []
+    members, labels, trees = classes, None, tree_count(join.threshold)
+    while trees:
+        first = sum(t for t, _ in grown)
+        rows = _first_rows(members, range(first, first + trees), labels)
+        depth, labels, leaves, deep = _grow(join, classes, rows, labels, links, affordable, leaf, levels)
+        rest = _labelled(reduce(DataFrame.unionByName, leaves).drop("label"), labels)
+        joined = min(JOINED, leaf)
+        links.append(join.confirm(_leaf_pairs(join, rest.where(F.col("members") <= joined))))
+        links.append(_wide_links(join, rest.where(F.col("members") > joined)))
+        found = connected_components(reduce(DataFrame.unionByName, links))
+        grown.append((trees, depth))
+        trees = more_trees(join.threshold, grown)
+        if trees:
+            # Only pairs that met in a node below the wide levels may need further trees.
+            if len(grown) == 1:
+                members = write_through(restricted(classes, deep, ["cls"]), "deep-classes")
+            labels = write_through(found, "labels")
+    return found
+
+
+def _grow(
+    join: _Join,
+    classes: DataFrame,
+    rows: DataFrame,
+    labels: DataFrame | None,
+    links: list[DataFrame],
+    affordable: int,
+    leaf: int,
+    levels: int,
+) -> tuple[int, DataFrame, list[DataFrame], DataFrame | None]:
+    """Branches some trees to their leaves: levels, components, leaves, and the classes below WIDE_LEVELS.
+
+    Links of pivots are added to ``links``.
+    """
+    leaves, deep, fresh = [], None, labels is None
     for level in range(1, levels + 1):
-        met = write_through(_open_rows(rows, level == 1), "nodes")
+        met = write_through(_open_rows(rows, fresh and level == 1), "nodes")
         large = met.where(F.col("members") > leaf)
         # Every row of a node meets each other one: half its members, on average.
         comparisons = (large.agg(F.sum("members")).first()[0] or 0) // 2
@@ -446,13 +511,11 @@ def similar_classes(
             labels = write_through(connected_components(reduce(DataFrame.unionByName, links)), "labels")
         if last:
             break
+        if level == WIDE_LEVELS:
+            deep = large.select("cls")
         branches = BRANCHES if level < WIDE_LEVELS else 1
         rows = _next_rows(large.select("node", "cls"), classes, labels, branches)
-    rest = _labelled(reduce(DataFrame.unionByName, leaves).drop("label"), labels)
-    joined = min(JOINED, leaf)
-    links.append(join.confirm(_leaf_pairs(join, rest.where(F.col("members") <= joined))))
-    links.append(_wide_links(join, rest.where(F.col("members") > joined)))
-    return connected_components(reduce(DataFrame.unionByName, links))
+    return level, labels, leaves, deep
 
 
 def near_duplicates(

@@ -113,6 +113,28 @@ def test_near_duplicates(spark, monkeypatch, leaf, levels, comparisons, kept):
     assert all(r.leader for r in found if not r.n_shingles)
 
 
+@pytest.mark.parametrize("levels", range(1, near_dedup.MAX_LEVELS + 1))
+def test_trees_reach_the_target_at_every_depth(levels):
+    first = near_dedup.tree_count(0.8)
+    trees = first + near_dedup.more_trees(0.8, [(first, levels)])
+    early = (1 - near_dedup.kept_by_tree(0.8, near_dedup.WIDE_LEVELS)) ** first if trees > first else 0
+    assert early + (1 - near_dedup.kept_by_tree(0.8, levels)) ** trees <= 1 - near_dedup.TARGET_RECALL
+
+
+def test_near_duplicates_in_a_dense_group(spark, monkeypatch):
+    """Pairs at the threshold in a group whose nodes are large down to the last level; no other link joins them."""
+    monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", (6, near_dedup.MAX_LEVELS))
+    monkeypatch.setattr(near_dedup, "COMPARISONS", 0)
+    monkeypatch.setattr(near_dedup, "PIVOT_FROM", 10**9)
+    common = [f"c{i}" for i in range(38)]
+    rows = []
+    for i in range(240):
+        own = [f"p{i // 2}x{j}" for j in range(2)] + [f"o{i}x{j}" for j in range(5)]
+        rows.append((i, " ".join(common + own)))
+    found = near_dedup.near_duplicates(docs_of(spark, rows), width=1).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i // 2 * 2 for i in range(240)}
+
+
 def test_drop_near_duplicates_keeps_columns(spark):
     docs = docs_of(spark, near_rows())
     kept = near_dedup.drop_near_duplicates(docs)
