@@ -167,7 +167,9 @@ def fit_language_model(docs: DataFrame, text: str, lang: str, usable: Column | N
     rows = packed(docs) if usable is None else packed(docs.where(usable))
     rows = rows.select(F.col("row")[lang].cast("string").alias("lang"), F.col("row")[text].cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang") != "")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Copies of a text share its hash, so shares are of different texts.
+    texts = F.count_distinct(F.xxhash64("text")).alias("n")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(texts).collect()}
     langs = sorted(counts)
     # Keep about twice the wanted share by hash before the exact choice, so that little is sorted.
     share = F.create_map(*[F.lit(v) for g in langs for v in (g, min(1.0, 2 * rows_each / counts[g]))]) if langs else F.lit(None)
@@ -181,6 +183,7 @@ def fit_language_model(docs: DataFrame, text: str, lang: str, usable: Column | N
         few.dropDuplicates(["lang", "rank"]).groupBy("lang").agg(least.alias("t")).select("lang", F.explode("t").alias("t")).select("lang", "t.rank", "t.text"),
         "language-sample",
     )
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     by_family: dict[str, list[str]] = {}
     for g in langs:
         by_family.setdefault(family_of(g), []).append(g)
@@ -201,7 +204,7 @@ def fit_language_model(docs: DataFrame, text: str, lang: str, usable: Column | N
 def _predictions(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [c for c in batch.schema.names if c not in ("text", "lettered")]
+            keep = [c for c in batch.schema.names if c != "text"]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lang, score = model.predict(features(part.column("text")))
@@ -231,6 +234,13 @@ def identify_languages(
     Whole texts are read; ids, labels and other columns don't influence a prediction. An
     empty table gives an empty result.
     """
+    return _identified(docs, text, lang, doc_id, usable, rows_each).drop("lettered")
+
+
+def _identified(
+    docs: DataFrame, text: str, lang: str, doc_id: str, usable: Column | None = None, rows_each: int = SAMPLE_ROWS
+) -> DataFrame:
+    """The result of ``identify_languages``, and as ``lettered`` whether a text has a letter."""
     docs = located(docs)
     model = fit_language_model(docs, text, lang, usable, rows_each)
     rows = identified(docs).select(
@@ -242,13 +252,17 @@ def identify_languages(
     )
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(
-        _predictions(model), f"__file bigint, __row bigint, doc_id {kind}, lang_pred string, score double"
+        _predictions(model),
+        f"__file bigint, __row bigint, doc_id {kind}, lettered boolean, lang_pred string, score double",
     )
 
 
 def drop_undetermined(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined; same columns."""
+    """``docs`` without the rows whose language is undetermined as they have no letter; same columns.
+
+    If no language could be learned, nothing else is dropped either.
+    """
     docs = located(docs)
-    found = identify_languages(docs, text, lang, doc_id)
-    dropped = found.where(F.col("lang_pred") == UNDETERMINED).select("__file", "__row")
+    found = _identified(docs, text, lang, doc_id)
+    dropped = found.where((F.col("lang_pred") == UNDETERMINED) & ~F.col("lettered")).select("__file", "__row")
     return dropping(identified(docs), dropped, ROW_KEY).select("row.*")

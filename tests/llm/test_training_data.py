@@ -312,6 +312,17 @@ def test_languages(spark):
     assert language.identify_languages(docs.limit(0)).count() == 0
 
 
+def test_languages_of_copies_and_without_labels(spark):
+    said = {"en": "the house and this with that", "de": "das haus und nicht mit einer", "fr": "la maison avec des pour une"}
+    rows = [(i, said[g], g) for i, g in enumerate(list(said) * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify_languages(docs, rows_each=1).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {i: g for i, _, g in rows}
+    some = docs.where("doc_id < 9").unionByName(spark.createDataFrame([(900, "12 !", "en")], docs.schema))
+    kept = language.drop_undetermined(some.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(9))
+
+
 def test_bucket_ends_are_optimal():
     dice = np.random.default_rng(4)
     for _ in range(20):
