@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chartweave.llm.divergence import source_divergence
 from chartweave.llm.exact_dedup import exact_duplicates
 from chartweave.llm.html_text import extract_main_text
 from chartweave.llm.language import identify_languages
@@ -13,6 +14,8 @@ from chartweave.llm.mixing import mixed_rates
 from chartweave.llm.near_dedup import near_duplicates
 from chartweave.llm.packing import pack_batches
 from chartweave.llm.quality import score_quality
+from chartweave.llm.ranked_search import ranked_search
+from chartweave.llm.repeats import remove_repeats
 from chartweave.llm.token_codes import token_codes
 from chartweave.llm.top_k import top_k
 from chartweave.llm.url_filter import judge_urls
@@ -86,6 +89,19 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -98,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_packing": op9_packing,
         "op10_top_k": op10_top_k,
+        "op11_divergence": op11_divergence,
+        "op12_repeats": op12_repeats,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -160,5 +179,108 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+_OP11 = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), counts AS MATERIALIZED (
+  SELECT lang, source, rid, term, count(*) AS n FROM (SELECT lang, source, rid, unnest(w) AS term FROM words)
+  GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY lang, term HAVING count(*) >= 3
+), langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM words),
+cells AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang)
+  LEFT JOIN (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL) c
+    USING (lang, source, term)
+), sums AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL),
+shares AS MATERIALIZED (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000 * (c.n + 1)) // (s.n + l.v) AS p,
+         1 + (1000000000 * (c.total + 1)) // (l.n + l.v) AS q
+  FROM cells c JOIN sums s USING (lang, source) JOIN langs l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+_OP12 = r"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS rid,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), windows AS MATERIALIZED (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)
+), firsts AS (SELECT s, min(doc_id) AS low FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT rid, i + k AS i
+  FROM (SELECT w.rid, w.i, unnest(range(50)) AS k FROM windows w JOIN firsts f ON f.s = w.s AND w.doc_id > f.low)
+), words AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM texts),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, len(t.w) - coalesce(k.n, 0) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (rid)
+"""
+
+_OP13 = r"""
+WITH words AS MATERIALIZED (
+  SELECT rid, doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
+), counts AS MATERIALIZED (SELECT rid, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY rid),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, totals GROUP BY term
+), asked AS (
+  SELECT qid, item_id, term, count(*) AS times
+  FROM (
+    SELECT qid, item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS qid, item_id, text FROM benchmark))
+  GROUP BY ALL
+), scores AS (
+  SELECT a.qid, a.item_id, c.rid, c.doc_id,
+    CAST(sum(a.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * (75 + (25 * s.n * t.docs) // t.terms))))
+      AS BIGINT) AS score
+  FROM asked a JOIN counts c USING (term) JOIN weights w USING (term) JOIN sizes s ON s.rid = c.rid, totals t
+  GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": _OP1, "op4_exact_dedup": _OP4, "op10_top_k": _OP10}
+    return {
+        "op1_near_dedup": _OP1,
+        "op4_exact_dedup": _OP4,
+        "op10_top_k": _OP10,
+        "op11_divergence": _OP11,
+        "op12_repeats": _OP12,
+        "op13_ranked_search": _OP13,
+    }
