@@ -130,8 +130,8 @@ def _block_rows(top: int):
         whole_lang = table.filter(pc.is_null(table["source"]))
         terms = table.filter(pc.and_(pc.is_valid(table["term"]), pc.is_valid(table["source"])))
         names = heads["source"].to_pylist()
-        lang = heads["lang"][0].as_py()
-        kept = heads["kept"][0].as_py()
+        lang, lang_n = table["lang"][0].as_py(), table["lang_n"][0].as_py()
+        kept = table["kept"][0].as_py()
         tiles, sums = heads["tile"].to_numpy(), heads["n"].to_pylist()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
 
@@ -152,7 +152,7 @@ def _block_rows(top: int):
             if low == high and len(words):
                 own = trees.together(i, np.array([len(names)]))
                 _, mine, all_, _ = own
-                p, q = shares(mine, whole), shares(all_, heads["lang_n"][0].as_py() + kept)
+                p, q = shares(mine, whole), shares(all_, lang_n + kept)
                 good = (mine > 0) & (p > q)
                 priced = dict(zip(zip(mine[good].tolist(), all_[good].tolist()), price(p, q)[good].tolist()))
                 pairs = zip(counts[i].tolist(), counts[-1].tolist())
