@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from checks import protocol
+
 USER_ORIGIN = 1705276800000000
 ORDER_ORIGIN = 899251200000000
 
@@ -458,4 +460,4 @@ SELECT stay AS patientunitstayid, CAST(mortality AS INTEGER) AS mortality,
   string_agg(coalesce(CAST(CAST(t AS BIGINT) AS VARCHAR), 'null'), '|' ORDER BY position)
     AS times_text
 FROM kept GROUP BY stay, mortality""",
-    }
+    } | protocol.oracle_sql()
