@@ -62,21 +62,26 @@ def _bins(rows: DataFrame, telling: dict[str, list[str]]) -> DataFrame:
         return (F.length(text) - F.length(F.translate(text, signs, ""))) / size
 
     shares = rows.withColumns({"__words": _words(text), "__upper": share(_UPPER), "__signs": share(_SIGNS)})
-    words = F.col("__words")
+    words, distinct, told = F.col("__words"), F.col("__distinct"), F.col("__told")
+    every = sorted({w for d in DOMAINS for w in telling.get(d) or []})
+    # The words of a text are gone through once for each column; what follows sees a few of them.
+    shares = shares.withColumn("__distinct", F.array_distinct(words))
+    known = F.array(*map(F.lit, every)) if every else F.array().cast("array<string>")
+    shares = shares.withColumn("__told", F.array_intersect(distinct, known))
     values = [
         _binned(F.col("__upper"), _BORDERS[0]),
         _binned(F.col("__signs"), _BORDERS[1]),
         # Few words tell nothing about repetition.
         F.when(F.size(words) < 20, F.lit(len(_BORDERS[2]))).otherwise(
-            _binned(F.size(F.array_distinct(words)) / F.size(words), _BORDERS[2])
+            _binned(F.size(distinct) / F.size(words), _BORDERS[2])
         ),
     ]
     for domain in DOMAINS:
         own = telling.get(domain) or []
-        hit = F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) if own else F.lit(0)
+        hit = F.size(F.array_intersect(told, F.array(*map(F.lit, own)))) if own else F.lit(0)
         values.append(_binned(hit, _HITS))
     return shares.withColumns({f"__b{i}": v.cast("int") for i, v in enumerate(values)}).drop(
-        "text", "__words", "__upper", "__signs"
+        "text", "__words", "__distinct", "__told", "__upper", "__signs"
     )
 
 
