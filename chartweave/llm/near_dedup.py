@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartweave.llm.components import connected_components
-from chartweave.llm.shared import ROW_KEY, dropping, hinted, identified, located, restricted, write_through
+from chartweave.llm.shared import MAX_BROADCAST_KEYS, ROW_KEY, dropping, hinted, identified, located, restricted, write_through
 from chartweave.llm.word_sets import mixed, shingle_sets
 
 POSITIONS = 128
@@ -302,14 +302,19 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_rows(rows: DataFrame, first: bool) -> DataFrame:
-    """Rows of nodes whose members lie in different components, with the size of the node."""
+    """Rows of nodes whose members lie in different components, with the size of the node.
+
+    Nodes are counted first, by their hashes alone. Few of them have two members, so that the rows,
+    with all that a class carries, mostly stay where they are or go no further.
+    """
     members = F.count(F.lit(1)).alias("members")
     if first:  # every class is still a component
-        nodes = rows.groupBy("node").agg(members).where("members > 1")
+        nodes = rows.select("node").groupBy("node").agg(members).where("members > 1")
     else:
         ends = F.min("label").alias("low"), F.max("label").alias("high")
-        nodes = rows.groupBy("node").agg(members, *ends).where("low <> high").select("node", "members")
-    return rows.join(nodes, "node").select("node", "members", "cls", "label", *_CARRIED)
+        nodes = rows.select("node", "label").groupBy("node").agg(members, *ends).where("low <> high")
+    nodes = write_through(nodes.select("node", "members"), "open-nodes")
+    return rows.join(hinted(nodes), "node").select("node", "members", "cls", "label", *_CARRIED)
 
 
 def _pairs(near: DataFrame, one: str, other: str) -> DataFrame:
@@ -518,6 +523,21 @@ def _grow(
     return level, labels, leaves, deep
 
 
+def _class_rows(sketched: DataFrame) -> DataFrame:
+    """One row of each class, the first by place: cls, n, place, tokens, sketch.
+
+    Only hashes and places are grouped. The tokens, most of a row's bytes, are read where they were
+    written; beyond the classes that a broadcast holds they are written once more instead.
+    """
+    place = F.min(F.struct(*ROW_KEY)).alias("place")
+    heads = sketched.where("cls IS NOT NULL").select("cls", *ROW_KEY).groupBy("cls").agg(place)
+    heads = write_through(heads.select("place.*"), "class-places")
+    columns = ["cls", "n", *ROW_KEY, "tokens", *_BITS]
+    if heads.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        return sketched.join(F.broadcast(heads), ROW_KEY, "left_semi").select(*columns)
+    return write_through(sketched.join(heads, ROW_KEY, "left_semi").select(*columns), "classes")
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -542,14 +562,7 @@ def near_duplicates(
         ),
         "sketches",
     )
-    first = F.min(F.struct(*ROW_KEY)).alias("place")
-    classes = (
-        sketched.where("cls IS NOT NULL")
-        .groupBy("cls")
-        .agg(first, *[F.first(c).alias(c) for c in ("n", "tokens", *_BITS)])
-        .select("cls", "n", "place.*", "tokens", *_BITS)
-    )
-    classes = write_through(classes, "classes")
+    classes = _class_rows(sketched)
     texts = rows.select(*ROW_KEY, "text")
     labels = write_through(similar_classes(texts, classes, width, percent), "components")
     facts = (
