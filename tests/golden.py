@@ -21,16 +21,13 @@ STREAM_SCHEMAS = {
     "vitalPeriodic": "patientunitstayid bigint, observationoffset double, heartrate double, sao2 double",
 }
 
-STREAM_ROWS = {
-    "patient": [(101, "65", "Female", "Alive"), (102, "50", "Male", "Expired"), (103, "40", "Female", None)],
-    "diagnosis": [
-        (101, "Sepsis", 60.0),
-        (101, "Acidosis", 60.0),
-        (102, "Shock", None),
-        (103, "Asthma", 10.0),
-    ],
-    "medication": [(101, "Norepinephrine", 0.0)],
-    "lab": [(101, "Creatinine", "1.0", 240.0), (102, "Creatinine", "3.0", 30.0)],
+# An own small ward: a copy, a time before admission, two events at one instant, a missing time, a
+# missing age and a stay without a label.
+WARD_ROWS = {
+    "patient": [(7, "34", "Male", "Expired"), (8, "71", "Female", "Alive"), (9, None, "Male", "Alive"), (12, "58", "Female", "Unknown")],
+    "diagnosis": [(7, "Stroke", -15.0), (7, "Stroke", -15.0), (7, "Anemia", 200.0), (8, "Gout", None), (9, "Burns", 5.0)],
+    "medication": [(8, "Digoxin", 45.0), (7, "Insulin", 200.0), (8, "Heparin", 30.0)],
+    "lab": [(9, "Lactate", "8.5", 5.0), (7, "Lactate", "2.5", 3000.0)],
 }
 
 
