@@ -404,7 +404,7 @@ FROM states WHERE mortality IS NULL""",
         "streams_split": positions(u, True, True, 5),
         "streams_split_orders": positions(o, True, False, 5),
         "min_length_filter": f"""
-WITH {u}, {FITTED}, {sequence(True, True)}, {kept(100)}
+WITH {u}, {FITTED}, {sequence(True, True)}, {kept(190)}
 SELECT stay AS patientunitstayid, CAST(mortality AS INTEGER) AS mortality, CAST(n AS BIGINT) AS n_events
 FROM kept GROUP BY ALL""",
         "stay_exclusions": f"""

@@ -366,7 +366,7 @@ def streams_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = _users(spark, sf_dir, "timegap_static", 1).sequences
-    return kept_sequences(sequences, 100).select(STAY_ID, "mortality", "n_events")
+    return kept_sequences(sequences, 190).select(STAY_ID, "mortality", "n_events")
 
 
 def stay_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
