@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -234,6 +236,68 @@ def test_only_real_attributes_hide(attributes, shown):
     assert ("Long words of the article." in [t for _, t in html_text.blocks(page)]) == shown
 
 
+PROSE = " ".join(f"Word {i} of the prose goes on." for i in range(8))
+ITEMS = "".join(f"<li>Item {i} of a long list." for i in range(9))
+CELLS = "".join(f"<tr><td>Cell {i} of<td>a long table." for i in range(9))
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><p>Lead.</p><div class=content><p>{PROSE}</p></div></article>", ["Lead.", PROSE]),
+        (f"<div><section class=intro><p>Intro.</p></section><section><p>{PROSE}</p></section></div>", ["Intro.", PROSE]),
+        (
+            f"<div><section><p>{PROSE}</p></section></div><div><section><a href=x>More of this</a></section></div>",
+            [PROSE],
+        ),
+        (
+            f"<div><p>First.</p><ul>{ITEMS}</ul><p>Last.</p></div>",
+            ["First.", *(f"Item {i} of a long list." for i in range(9)), "Last."],
+        ),
+        (
+            f"<div><p>First.</p><table>{CELLS}</table><p>Last.</p></div>",
+            ["First.", *(t for i in range(9) for t in (f"Cell {i} of", "a long table.")), "Last."],
+        ),
+        (
+            f"<table><tr><td><a href=x>Menu of a page</a><td><p>{PROSE}</p><p>End.</p></table>",
+            [PROSE, "End."],
+        ),
+        (f"<div><h2>Head</h2><p>Lead.</p><div class=text><p>{PROSE}</p></div><p>Tail.</p></div>", ["Head", "Lead.", PROSE, "Tail."]),
+        (f"<p>Short words.</p><ul>{'<li><a href=x>A link of a list</a>' * 9}</ul><div><p>{PROSE}</p></div>", [PROSE]),
+        (f"<form id=aspnetForm><article><p>{PROSE}</p></article></form><footer>x</footer>", [PROSE]),
+        (f"<form><div class=page-header><main><p>{PROSE}</p></main></div><p class=ad>Buy.</p></form>", [PROSE]),
+        (f"<form><p>{PROSE}</p><p>Two.</p><p>Three.</p></form><nav><a href=x>Home</a></nav>", [PROSE, "Two.", "Three."]),
+        (f"<div id=page-header-fixed><p>{PROSE}</p></div>", [PROSE]),
+        (f"<div class=market-share-report><p>{PROSE}</p></div>", [PROSE]),
+        # Parts beside stay out, however long, also where they hold articles of their own.
+        (f"<article><p>Short.</p></article><section class=comments><article>{f'<p>{PROSE}' * 4}</article></section>", ["Short."]),
+        (f"<div><p>Short.</p></div><div id=comments>{f'<p>{PROSE}' * 4}</div>", ["Short."]),
+        (f"<div><p>{PROSE}</p></div><aside class=related><article><p>Other.</p></article></aside>", [PROSE]),
+        ("<div class=cookie-notice><p>We use cookies.</p></div>", []),
+        (f"<div><p>Words <span class=share>Share <b>this</b></span>go on.</p><p class=notice>{PROSE}</p></div>", ["Words go on."]),
+    ],
+)
+def test_whole_articles(body, want):
+    for page in (f"<html><body>{body}</body></html>", f"<body><div class=wrap>{body}</div></body>", body):
+        assert html_text.main_text(page, None) == "\n\n".join(want)
+    best = html_text.Page(f"<body>{body}").best()
+    if want:  # the voted path leads to the same text
+        assert html_text.main_text(f"<body>{body}", best.path()) == "\n\n".join(want)
+
+
+def test_deep_pages_are_linear():
+    n = 40_000
+    tracemalloc.start()
+    assert html_text.main_text("<div class=x1>" * n + f"<p>{PROSE}</p>" + "</div>" * n, None) == PROSE
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    began = time.process_time()
+    many = html_text.main_text("<div>" * n + "<div class=k><p>a b</p></div>" * n, "/div" * n + "/div.k")
+    assert many == "\n\n".join(["a b"] * n)
+    html_text.main_text("<b>" * n + "<p>x</p></i>" * n, None)
+    assert time.process_time() - began < 20  # seconds; what grows with the square takes minutes
+
+
 def test_urls(spark):
     urls = [
         "http://Blog.Example.net/en/1?x", "http://example.net/fr/1", "http://a.example.com/de/", "http://x.example.com/dex",
