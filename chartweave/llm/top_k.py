@@ -24,12 +24,18 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 #: Candidates that are taken at once, after which the k-th scores are raised.
 PIECE_ROWS = 512
+#: Most tasks that the pairs of blocks are dealt to, and the limit of a score.
+MAX_TASKS = 20_000
+MAX_SCORE = 2**63 - 1
 
 
 def best_of_shard(
     queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, shard_ids: np.ndarray, k: int
 ) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best in a shard, by MaxScore; exact integers."""
+    """(query, candidate, score) of each query's k best in a shard, by MaxScore; exact integers.
+
+    Scores beyond 64 bits are set to the limit that they pass.
+    """
     if not len(shard) or not len(queries):
         return
     # Products and sums stay exact: in int64 if they fit, else as Python's integers.
@@ -64,6 +70,8 @@ def best_of_shard(
                         break
                 some = terms[step : step + 8]
                 score = score + piece[left][:, some] @ weight[some]
+            if kind is object:  # bounds stay above the limit, so nothing that ties there is left out
+                score = np.array([max(-MAX_SCORE, min(MAX_SCORE, int(x))) for x in score], object)
             top_scores = np.concatenate((top_scores, score))
             top_ids = np.concatenate((top_ids, ids[left]))
             if len(top_scores) > k:
@@ -143,7 +151,13 @@ def top_k(
 
     ``is_query`` is a condition on ``vec_id``. Candidates are all rows whose id isn't
     the query's own and whose vector has its length; ties go to the smaller id, and repeated
-    rows are candidates each. Equal query rows are asked once. Other columns are ignored.
+    rows are candidates each. Equal query rows are asked once. Different vectors under one id are
+    candidates each; as queries their results are ranked as one list. Vectors that are null or hold null or
+    non-finite components, and rows without an id, take no part. Components and scores beyond
+    64 bits are set to the limit that they pass. Other columns are ignored; an empty table gives an empty result.
+
+    Every block of queries meets every shard, each pair in a task of its own up to ``MAX_TASKS``: exact search shuffles
+    rows * queries / ``QUERY_ROWS`` vectors.
     """
     rows = integer_vectors(table, vec_id, vector, scale)
     asked = rows.where(is_query).distinct().withColumn("copies", F.lit(1))
@@ -152,9 +166,15 @@ def top_k(
     # Blocks are hashed, with counts that follow the input, so none grows with it.
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    left = _blocks(asked, blocks, "q").withColumn("c_size", F.col("q_size"))
-    right = _blocks(stored, shards, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = right.join(left, ["q_block", "c_size"])
+    tasks = min(2 * blocks * shards, MAX_TASKS)
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    key = ["q_block", "c_block", "size"]
+    left = _blocks(asked, blocks, "q").withColumnRenamed("q_size", "size").withColumn("c_block", every(shards))
+    right = _blocks(stored, shards, "c").withColumnRenamed("c_size", "size").withColumn("q_block", every(blocks))
+    pairs = right.repartition(tasks, *key).join(left.repartition(tasks, *key), key)
     found = pairs.select("q_ids", "q_vectors", "c_ids", "c_vectors", "c_copies").mapInArrow(
         _searched(k), "query_id bigint, vec_id bigint, score bigint"
     )

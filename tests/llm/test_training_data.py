@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -454,6 +455,33 @@ def test_top_k(spark):
     assert top_k.top_k(frame.limit(0), F.col("vec_id") % 7 == 0).count() == 0
 
 
+def test_top_k_of_huge_components_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 4)
+    monkeypatch.setattr(top_k, "QUERY_ROWS", 2)
+    monkeypatch.setattr(top_k, "PIECE_ROWS", 2)
+    dice = random.Random(8)
+    sizes = [1e300, 1e15, 3e7, 1.0]
+    rows = [(i % 25, [dice.choice((-1, 1)) * dice.choice(sizes) * dice.random() for _ in range(3)]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in top_k.top_k(frame, F.col("vec_id") % 6 == 0, k=4).collect())
+    top = 2**63 - 1
+
+    def whole(x):
+        return max(-top - 1, min(top, math.floor(256 * x) if abs(x) < 1e200 else int(math.copysign(2**64, x))))
+
+    ints = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 6 == 0}:
+        # Both vectors of a query id are asked; all their results are one list.
+        scored = [
+            (-max(-top, min(top, sum(x * y for x, y in zip(a, b, strict=True)))), i)
+            for j, a in ints if j == q for i, b in ints if i != q
+        ]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scored)[:4])]
+    assert found == sorted(want)
+    assert any(abs(r[3]) == top for r in found)
+
+
 def test_shingle_sets_match_words():
     texts = [t for _, t in near_rows()] + ["A\x0bB a\tb", "x" * 3_000_000]
     for width in (2, 5):
