@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chartweave.llm.shared import ROW_KEY, dropping, identified, located, packed, write_through
 from chartweave.llm.word_sets import buffers
@@ -33,6 +33,8 @@ FAMILIES = {
 WIDTH = 2048
 #: Labelled rows a language that the models learn from, chosen by a hash of the text.
 SAMPLE_ROWS = 600
+#: Rows that the family model learns from at most, in equal shares of all languages.
+FAMILY_ROWS = 6000
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, np.uint8)
@@ -114,8 +116,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30) ->
 def _learned(group: pd.DataFrame) -> pd.DataFrame:
     """One model from the bounded sample of its task: 'family' or 'a|b'."""
     task = group["task"].iloc[0]
-    group = group.sort_values(["rank", "lang", "text"])
-    x = features(pa.array(group["text"], pa.string()))
+    group = group.sort_values(["rank", "lang"])
+    x = np.stack(group["weights"].to_numpy()).astype(np.float32)
     if task == "family":
         names = sorted({family_of(lang) for lang in group["lang"]})
         y = np.array([names.index(family_of(lang)) for lang in group["lang"]])
@@ -162,39 +164,59 @@ class LanguageModel:
         return list(lang), score
 
 
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features in place of texts: rows of one size, however long a text is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            flat = features(part.column("text")).ravel()
+            offsets = pa.array(np.arange(0, len(flat) + 1, WIDTH, dtype=np.int32))
+            weights = pa.ListArray.from_arrays(offsets, pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("lang"), part.column("rank"), weights], names=["lang", "rank", "weights"]
+            )
+
+
 def fit_language_model(docs: DataFrame, text: str, lang: str, usable: Column | None, rows_each: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from ``rows_each`` labelled rows of each language; rows need a text with a letter."""
+    """Learn from ``rows_each`` labelled rows of each language.
+
+    Texts become features where they are read; the models' tasks get features only, so neither long
+    texts nor many languages fill one. Equal texts of a language count once.
+    """
     rows = packed(docs) if usable is None else packed(docs.where(usable))
     rows = rows.select(F.col("row")[lang].cast("string").alias("lang"), F.col("row")[text].cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("lang") != "")
-    # Copies of a text share its hash, so shares are of different texts.
-    texts = F.count_distinct(F.xxhash64("text")).alias("n")
+    # Copies of a text share its hash, so shares are of different texts; a sketch will do to set them.
+    texts = F.approx_count_distinct(F.xxhash64("text")).alias("n")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(texts).collect()}
     langs = sorted(counts)
     # Keep about twice the wanted share by hash before the exact choice, so that little is sorted.
-    share = F.create_map(*[F.lit(v) for g in langs for v in (g, min(1.0, 2 * rows_each / counts[g]))]) if langs else F.lit(None)
+    share = F.create_map(*[F.lit(v) for g in langs for v in (g, min(1.0, 2 * rows_each / max(1, counts[g])))]) if langs else F.lit(None)
     rank = F.abs(F.xxhash64("text")) / F.lit(float(2**63))
     few = rows.withColumn("rank", rank)
     if langs:
         few = few.where(F.col("rank") <= F.element_at(share, F.col("lang")))
-    least = F.slice(F.array_sort(F.collect_list(F.struct("rank", "text"))), 1, rows_each)
-    # Hash and text decide; at most twice the sample is met by one task for each language.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
     sample = write_through(
-        few.dropDuplicates(["lang", "rank"]).groupBy("lang").agg(least.alias("t")).select("lang", F.explode("t").alias("t")).select("lang", "t.rank", "t.text"),
+        few.mapInArrow(_weights, "lang string, rank double, weights array<float>")
+        .dropDuplicates(["lang", "rank"])
+        .withColumn("place", first)
+        .where(F.col("place") <= rows_each),
         "language-sample",
     )
     langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     by_family: dict[str, list[str]] = {}
     for g in langs:
         by_family.setdefault(family_of(g), []).append(g)
-    tasks = [("family", g) for g in langs]
+    tasks = [("family", g, -(-FAMILY_ROWS // len(langs))) for g in langs]
     for own in by_family.values():
-        tasks += [(f"{a}|{b}", g) for a, b in combinations(own, 2) for g in (a, b)]
+        tasks += [(f"{a}|{b}", g, rows_each) for a, b in combinations(own, 2) for g in (a, b)]
     if not tasks:
         return LanguageModel([], [])
-    plan = docs.sparkSession.createDataFrame(tasks, "task string, lang string")
+    plan = docs.sparkSession.createDataFrame(tasks, "task string, lang string, most int")
     models = (
         sample.join(F.broadcast(plan), "lang")
+        .where(F.col("place") <= F.col("most"))
         .groupBy("task")
         .applyInPandas(_learned, "task string, name string, weight array<float>")
     )
@@ -231,8 +253,8 @@ def identify_languages(
 
     lang_pred is a language of the labelled rows that meet ``usable`` (all, if None), or
     ``und`` with score 0 if the text is null, has no letter, or nothing could be learned.
-    Whole texts are read; ids, labels and other columns don't influence a prediction. An
-    empty table gives an empty result.
+    Whole texts are read; ids, labels and other columns don't influence a prediction. Equal chances
+    of families go to the first by name, equal wins and margins to the last. An empty table gives an empty result.
     """
     return _identified(docs, text, lang, doc_id, usable, rows_each).drop("lettered")
 

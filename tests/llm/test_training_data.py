@@ -299,6 +299,31 @@ def test_deep_pages_are_linear():
     assert time.process_time() - began < 20  # seconds; what grows with the square takes minutes
 
 
+def test_language_tasks_hold_features_of_a_bounded_sample(spark, monkeypatch):
+    words = {"en": "the house and tree", "de": "das haus und baum", "fr": "la maison et arbre", "es": "una casa y el sol"}
+    rows = [
+        (i, " ".join(random.Random(i).choices(words[g].split(), k=400_000 if i < 4 else 12)), g)
+        for i, g in enumerate(list(words) * 15)
+    ]
+    rows += [(100 + i, rows[4][1], "en") for i in range(300)]  # copies count once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rank", F.lit("x"))
+    seen = []
+
+    def written(frame, name):
+        seen.append(frame.toPandas())
+        return spark.createDataFrame(seen[-1], frame.schema)
+
+    monkeypatch.setattr(language, "write_through", written)
+    monkeypatch.setattr(language, "FAMILY_ROWS", 8)
+    model = language.fit_language_model(docs, "text", "lang", None, rows_each=5)
+    (sample,) = seen
+    assert set(sample.columns) == {"lang", "rank", "weights", "place"} and not sample.duplicated(["lang", "rank"]).any()
+    assert sample.groupby("lang").size().to_dict() == dict.fromkeys(words, 5)
+    assert {len(w) for w in sample["weights"]} == {language.WIDTH}
+    names, _ = model.predict(language.features(pa.array([text for _, text, _ in rows])))
+    assert names == [lang for _, _, lang in rows]
+
+
 def test_urls(spark):
     urls = [
         "http://Blog.Example.net/en/1?x", "http://example.net/fr/1", "http://a.example.com/de/", "http://x.example.com/dex",
