@@ -37,7 +37,14 @@ def event_statistics(sequences: DataFrame, min_events_per_stay: int) -> DataFram
         first.alias("first"),
         F.when(first & F.col("kept"), F.col("n_events")).alias("length"),
     ).agg(F.count("*").alias("rows"))
+    return statistics_from_counts(counts)
 
+
+def statistics_from_counts(counts: DataFrame) -> DataFrame:
+    """The one row of statistics from counted ``(family, kept, first, length, rows)``.
+
+    ``first`` marks what counts a stay; ``length`` is set there if the stay is kept.
+    """
     rows = F.col("rows")
 
     def total(condition: Column) -> Column:

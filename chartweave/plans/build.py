@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.contract import STAY_ID
+from chartweave.operators.long_streams import RANGE_VALUES, LongStreams, long_streams
 from chartweave.operators.numeric import MAX_RANKED_ROWS, fit_numeric_bins, hold_thresholds
 from chartweave.operators.outcomes import DEFAULT_RULES, LabelRules, label_masks
-from chartweave.operators.sequences import MAX_ROW_EVENTS, kept_sequences, stay_sequences
+from chartweave.operators.sequences import (
+    MAX_ROW_EVENTS,
+    about_rows,
+    context_rows,
+    event_rows,
+    kept_sequences,
+    label_rows,
+    stay_sequences,
+    values_per_row,
+)
 from chartweave.operators.shared_storage import write_through
 from chartweave.operators.statistics import event_statistics
 from chartweave.operators.tables import (
@@ -123,6 +133,41 @@ def plan_event_streams(
     return StreamBuild(sequences, representation, min_events_per_stay)
 
 
+def plan_long_streams(
+    tables: Tables,
+    representation: str,
+    min_events_per_stay: int,
+    *,
+    rules: LabelRules = DEFAULT_RULES,
+    thresholds: DataFrame | None = None,
+    max_ranked_rows: int = MAX_RANKED_ROWS,
+    range_values: int = RANGE_VALUES,
+) -> LongStreams:
+    """Positions, outcomes and statistics without an array per stay, whatever its size.
+
+    As ``plan_event_streams`` it fits unless thresholds are given. The number of ranges follows the
+    source values of all tables.
+    """
+    check_tables(tables)
+    check_representation(representation)
+    check_minimum(min_events_per_stay)
+    label_masks(tables, rules)  # fails early when there is no label field
+    rows = source_rows(tables)
+    if thresholds is None:
+        thresholds = fit_numeric_bins(tables, max_ranked_rows, rows)
+    held, count = hold_thresholds(thresholds)
+    values = sum(rows.get(table, 0) * n for table, n in values_per_row(tables).items())
+    context = context_rows(tables) if representation == "timegap_static" else None
+    return long_streams(
+        event_rows(tables, held, count),
+        about_rows(label_rows(tables, rules), context),
+        with_gaps=representation != "basic",
+        fields=len(rules.fields),
+        min_events_per_stay=min_events_per_stay,
+        ranges=max(1, -(-values // range_values)),
+    )
+
+
 def build_event_streams(
     tables: Tables, representation: str, min_events_per_stay: int, **options: object
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
