@@ -22,6 +22,8 @@ from chartweave.operators.statistics import statistics_from_counts
 
 #: Source values of one range, about.
 RANGE_VALUES = 1_000_000
+#: Below that a range isn't worth a task.
+LEAST_RANGE = 10_000
 
 # Sort keys of static tokens and of events without a time, around all finite times.
 _STATIC, _NO_TIME = float("-inf"), float("inf")
@@ -32,7 +34,7 @@ class LongStreams:
     """Written rows and summaries of all stays; the results derive from them.
 
     ranged: stay, moment, context, token, part, distinct; a null token only says that the stay exists.
-    parts: stay, part, carried (last time before), earlier (positions before), length (of the part).
+    parts: stay, part, carried (last time before), earlier (positions before), gaps and length (of the part).
     stays: stay, state, n_events, for every stay of every table.
     """
 
@@ -87,16 +89,20 @@ class LongStreams:
     @property
     def statistics(self) -> DataFrame:
         """One row, as ``event_statistics`` gives it."""
-        tokens = (
-            self.positions.groupBy(token_family(F.col("token")).alias("family"))
-            .agg(F.count("*").alias("rows"))
-            .select(
-                "family",
-                F.lit(True).alias("kept"),
-                F.lit(False).alias("first"),
-                F.lit(None).cast("bigint").alias("length"),
-                "rows",
-            )
+        # Gap tokens are counted by the summary, so no order is needed here.
+        kept_parts = self.parts.join(self.kept.select(STAY_ID), STAY_ID, "left_semi")
+        rows = self.ranged.where(F.col("token").isNotNull()).join(
+            kept_parts.select(STAY_ID, "part"), [STAY_ID, "part"], "left_semi"
+        )
+        own = rows.groupBy(token_family(F.col("token")).alias("family")).agg(F.count("*").alias("rows"))
+        gap_family = token_family(gap_token(F.lit(1.0))).alias("family")
+        gaps = kept_parts.groupBy(gap_family).agg(F.sum("gaps").alias("rows"))
+        tokens = own.unionByName(gaps).select(
+            "family",
+            F.lit(True).alias("kept"),
+            F.lit(False).alias("first"),
+            F.lit(None).cast("bigint").alias("length"),
+            "rows",
         )
         kept = F.coalesce(
             decided_label(F.col("state")).isNotNull() & (F.col("n_events") >= self.min_events_per_stay),
@@ -149,9 +155,9 @@ def long_streams(
     )
     opened = F.coalesce((F.col("carried") < F.col("first")).cast("int"), F.lit(0))
     gaps = F.greatest(F.col("instants") - 1 + opened, F.lit(0)) if with_gaps else F.lit(0)
-    parts = parts.withColumn("length", F.col("rows") + gaps).select(
-        STAY_ID, "part", "carried", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("earlier"), "length"
-    )
+    parts = parts.withColumn("gaps", gaps.cast("bigint")).withColumn("length", F.col("rows") + F.col("gaps"))
+    earlier = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("earlier")
+    parts = parts.select(STAY_ID, "part", "carried", earlier, "gaps", "length")
     parts = write_through(parts, "stream-parts")
 
     # Every stay of every table: those with rows, and those that only the label tables know.

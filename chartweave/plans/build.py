@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.contract import STAY_ID
-from chartweave.operators.long_streams import RANGE_VALUES, LongStreams, long_streams
+from chartweave.operators.long_streams import LEAST_RANGE, RANGE_VALUES, LongStreams, long_streams
 from chartweave.operators.numeric import MAX_RANKED_ROWS, fit_numeric_bins, hold_thresholds
 from chartweave.operators.outcomes import DEFAULT_RULES, LabelRules, label_masks
 from chartweave.operators.sequences import (
@@ -146,7 +146,7 @@ def plan_long_streams(
     """Positions, outcomes and statistics without an array per stay, whatever its size.
 
     As ``plan_event_streams`` it fits unless thresholds are given. The number of ranges follows the
-    source values of all tables.
+    source values of all tables; smaller tables use the session's shuffle partitions.
     """
     check_tables(tables)
     check_representation(representation)
@@ -157,6 +157,8 @@ def plan_long_streams(
         thresholds = fit_numeric_bins(tables, max_ranked_rows, rows)
     held, count = hold_thresholds(thresholds)
     values = sum(rows.get(table, 0) * n for table, n in values_per_row(tables).items())
+    usual = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-values // range_values), min(usual, -(-values // LEAST_RANGE)))
     context = context_rows(tables) if representation == "timegap_static" else None
     return long_streams(
         event_rows(tables, held, count),
@@ -164,7 +166,7 @@ def plan_long_streams(
         with_gaps=representation != "basic",
         fields=len(rules.fields),
         min_events_per_stay=min_events_per_stay,
-        ranges=max(1, -(-values // range_values)),
+        ranges=ranges,
     )
 
 

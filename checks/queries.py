@@ -37,7 +37,7 @@ from chartweave.operators.sequences import kept_sequences
 from chartweave.operators.shared_storage import shared_folder
 from chartweave.operators.statistics import exclusions
 from chartweave.operators.tables import stay_universe
-from chartweave.plans.build import StreamBuild, plan_event_streams, stream_positions
+from chartweave.plans.build import StreamBuild, plan_event_streams, plan_long_streams, stream_positions
 from chartweave.plans.prepare import prepare_streams
 from chartweave.sources.csv_tables import load_tables, table_path
 from chartweave.sources.stream_files import (
@@ -345,12 +345,12 @@ def streams_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positions = stream_positions(_users(spark, sf_dir, "timegap", 1).streams)
+    positions = plan_long_streams(user_tables(spark, sf_dir), "timegap", 1).positions
     return positions.where(token_family(F.col("token")) == "TIME_GAP")
 
 
 def stream_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_positions(_users(spark, sf_dir, "timegap_static", 5).streams)
+    return plan_long_streams(user_tables(spark, sf_dir), "timegap_static", 5).positions
 
 
 def streams_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,11 +387,12 @@ def _statistics_text(statistics: DataFrame) -> DataFrame:
 
 
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics_text(_users(spark, sf_dir, "timegap_static", 5).statistics)
+    return _statistics_text(plan_long_streams(user_tables(spark, sf_dir), "timegap_static", 5).statistics)
 
 
 def event_stats_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics_text(_orders(spark, sf_dir, "timegap", 5).statistics)
+    tables = order_tables(spark, sf_dir)
+    return _statistics_text(plan_long_streams(tables, "timegap", 5, rules=ORDER_RULES).statistics)
 
 
 # Data quality ---------------------------------------------------------------------
