@@ -62,15 +62,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(folds: int) -> Column:
+    """Null for a null id: such a row is neither learned from nor held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    return F.coalesce(_fold(folds) == fold, F.lit(False)).alias("held_out")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     found = score_quality(documents, labels, learn=_fold(5) != 0)
     return found.select(
         "doc_id",
-        (_fold(5) == 0).alias("held_out"),
+        _held_out(5, 0),
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
@@ -78,7 +83,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(_table(spark, sf_dir, "documents"), usable=_fold(4) != 2)
-    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

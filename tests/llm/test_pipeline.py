@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import corpus_pipeline
+from chartweave.llm import queries
 from chartweave.llm.shared import write_through
 from test_training_data import brute_components, near_rows
 
@@ -82,3 +84,32 @@ def test_stages_one_by_one(spark, tmp_path):
     assert counted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "padded_to")) == counted(
         packed.select("doc_id", "n_tokens", "padded_to")
     )
+
+
+def test_folds_and_thresholds_of_registered_queries(spark, tmp_path):
+    dice = random.Random(4)
+    good, low = "the house and the tree of a long road".split(), "BUY!! 99 $$$ cheap ## now 00".split()
+    rows = [(i, " ".join(dice.choices(low if i % 3 == 0 else good, k=40)), "en" if i % 3 else "de") for i in range(60)]
+    rows += [(None, "the house of a long road", "en"), (70, None, "en"), (71, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 != 0), 0) for i in range(60)] + [(None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def fold(i, folds):
+        return None if i is None else zlib.crc32(str(i).encode()) % folds
+
+    found = queries.op7_quality(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] or -1 for r in found) == sorted(r[0] or -1 for r in rows)
+    for r in found:
+        assert r["held_out"] is (fold(r["doc_id"], 5) == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    assert all(r["predicted"] == int(r["doc_id"] % 3 != 0) for r in found if r["doc_id"] is not None and r["doc_id"] < 60)
+
+    found = queries.op8_language(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["held_out"] is (fold(r["doc_id"], 4) == 2) and 0 <= r["score"] <= 1
+        if r["doc_id"] in (70, 71):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["doc_id"] is not None:
+            assert r["lang_pred"] == ("en" if r["doc_id"] % 3 else "de")
