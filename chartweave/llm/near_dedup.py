@@ -14,7 +14,9 @@ further trees, by the depth that was reached.
 Two classes that verified links already connect need no comparison, which is what
 keeps groups of thousands of near copies linear: the pivots connect them, and only
 members of different components are compared further. Links are confirmed on the
-full sets; sketches only leave out pairs that are far below the threshold.
+full sets; sketches only leave out pairs that are far below the threshold. Before any text
+travels to a pair, parity bits of the two sets, a tenth of a text, leave out the pairs whose
+sets certainly differ too much.
 """
 
 from __future__ import annotations
@@ -55,8 +57,9 @@ JOINED = 64
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 #: Sets that a task keeps while it confirms pairs, in bytes; then it starts afresh.
 KEPT_BYTES = 64 << 20
-#: Packed texts of up to so many bytes together are broadcast to their pairs; more are joined.
-BROADCAST_BYTES = 16 << 20
+#: Packed texts, or parity bits, of up to so many bytes together (with ROW_BYTES a row) are broadcast
+#: to their pairs; more are joined.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 #: Chance to find a pair at the threshold itself; more similar pairs have a higher one.
 TARGET_RECALL = 0.9999
 #: Deviations from the expected number of equal sketch tokens at which a pair is left out.
@@ -172,25 +175,77 @@ def _most_unequal(threshold: float) -> int:
     return math.ceil(POSITIONS * (1 - equal) + SKETCH_SIGMAS * spread)
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """The places on which an odd number of a set's hashes fall, as bits.
+
+    There are as many places as the power of two from twice the set's size on, 64 at least.
+    """
+    places = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    hits = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((hits & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits (in 64-bit words, last axis) over fewer places."""
+    while parity.shape[-1] > words:
+        half = parity.shape[-1] // 2
+        parity = parity[..., :half] ^ parity[..., half:]
+    return parity
+
+
+def least_apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """At least so many hashes are in one set but not in the other, by their parity bits.
+
+    Common hashes cancel out, and each other one changes one bit at most.
+    """
+    words = min(one.shape[-1], others.shape[-1])
+    return np.bitwise_count(_folded(one, words) ^ _folded(others, words)).sum(axis=-1, dtype=np.int64)
+
+
+def _may_differ(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Two sets of these sizes together link if no more hashes are in one of them only."""
+    return (100 - percent) * sizes // (100 + percent)
+
+
 def _texts(width: int):
-    """(cls, packed text) of each text; the set can be made again from the text."""
+    """(cls, size, parity bits, packed text) of each text; the set can be made again from the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = batch.column("text")
-            cls = [xxhash.xxh3_128_digest(h.tobytes()) for h in shingle_sets(texts, width)]
+            cls, size, parity = [], [], []
+            for h in shingle_sets(texts, width):
+                cls.append(xxhash.xxh3_128_digest(h.tobytes()))
+                size.append(len(h))
+                parity.append(parity_bits(h))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(cls, pa.binary()),
+                    pa.array(size, pa.int64()),
+                    pa.array(parity, pa.binary()),
                     pa.array([squeeze((t.as_py() or "").encode()) for t in texts], pa.binary()),
                 ],
-                names=["cls", "packed"],
+                names=["cls", "size", "parity", "packed"],
             )
 
     return run
 
 
+def _not_too_far(percent: int):
+    """Pairs that may link by their parity bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size_u").to_numpy() + batch.column("size_v").to_numpy()
+            ends = [[np.frombuffer(x, np.uint64) for x in batch.column(f"parity_{c}").to_pylist()] for c in "uv"]
+            apart = np.array([least_apart(u, v) for u, v in zip(*ends, strict=True)], np.int64)
+            keep = pa.array(apart <= _may_differ(sizes, percent))
+            yield batch.select(["u", "v"]).filter(keep)
+
+    return run
+
+
 def _confirmed(width: int, percent: int):
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -244,17 +299,16 @@ class _Join:
         return near
 
     def packed_texts(self, keys: DataFrame) -> DataFrame:
-        """(cls, packed) of the texts at these places, each once."""
+        """(cls, size, parity, packed) of the texts at these places, each once."""
         chosen = restricted(self.texts, keys, ROW_KEY).select("text")
-        texts = write_through(chosen.mapInArrow(_texts(self.width), "cls binary, packed binary"), "texts")
-        # Few texts in many pairs, as in a dense group: broadcast, so that no pair carries texts in a shuffle.
-        size = texts.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
-        return F.broadcast(texts) if size <= BROADCAST_BYTES else texts
+        kind = "cls binary, size bigint, parity binary, packed binary"
+        return write_through(chosen.mapInArrow(_texts(self.width), kind), "texts")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs of classes, checked on full sets made from a text of each.
 
-        ``pairs``: u, v, and the places of their texts.
+        ``pairs``: u, v, and the places of their texts. Their parity bits are compared first, so that
+        texts travel only for pairs that may link.
         """
         pairs = write_through(pairs.distinct(), "pairs")
         keys = pairs.select(
@@ -263,17 +317,33 @@ class _Join:
             ).alias("k")
         ).select("k.*")
         texts = self.packed_texts(keys)
-        sides = pairs.join(texts.select(F.col("cls").alias("v"), F.col("packed").alias("packed_v")), "v").join(
-            texts.select(F.col("cls").alias("u"), F.col("packed").alias("packed_u")), "u"
-        )
+        may = _both_ends(pairs.select("u", "v"), texts, ["size", "parity"])
+        near = write_through(may.mapInArrow(_not_too_far(self.percent), "u binary, v binary"), "near-pairs")
+        ends = near.select(F.explode(F.array("u", "v")).alias("cls"))
+        sides = _both_ends(near, restricted(texts, ends, ["cls"]), ["packed"])
         return write_through(
-            sides.select("u", "v", "packed_u", "packed_v").mapInArrow(
-                _confirmed(self.width, self.percent), "u binary, v binary"
-            ),
-            "confirmed",
+            sides.mapInArrow(_confirmed(self.width, self.percent), "u binary, v binary"), "confirmed"
         )
 
 
+def _sized(table: DataFrame, column: str) -> DataFrame:
+    """A table to be broadcast if this column has few bytes, as texts of a dense group have.
+
+    Then no pair carries them in a shuffle.
+    """
+    size = table.agg(F.sum(F.octet_length(column) + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def _both_ends(pairs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """u, v and these columns of both classes, the last of which is the large one."""
+    texts = _sized(texts.select("cls", *columns), columns[-1])
+    for side in "vu":
+        own = texts.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = pairs.join(own, side)
+    return pairs.select("u", "v", *[f"{c}_{side}" for c in columns for side in "uv"])
+
+
 def _first_nodes(trees: range) -> Column:
     """The nodes of a class on the first level of these trees."""
     spots = [(t, b, (BRANCHES * t + b) * 37 % POSITIONS) for t in trees for b in range(BRANCHES)]
@@ -391,19 +461,38 @@ def _near(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[int, np.n
         yield i, later[unequal <= limit]
 
 
+def _nearer(table: pa.Table, limit: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The same, without those whose parity bits tell that they don't link."""
+    n = table["n"].to_numpy()
+    bits = [np.frombuffer(x.as_py(), np.uint64) for x in table["parity"]]
+    words = np.array([len(x) for x in bits])
+    # One matrix for each width; a row knows its place in it.
+    stacked = {w: np.stack([x for x in bits if len(x) == w]) for w in set(words.tolist())}
+    place = np.zeros(len(n), np.int64)
+    for w, rows in stacked.items():
+        place[words == w] = np.arange(len(rows))
+    for i, later in _near(table, limit, percent):
+        good = np.zeros(len(later), bool)
+        for w in set(words[later].tolist()):
+            own = np.flatnonzero(words[later] == w)
+            apart = least_apart(bits[i], stacked[w][place[later[own]]])
+            good[own] = apart <= _may_differ(n[i] + n[later[own]], percent)
+        yield i, later[good]
+
+
 def _codes(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks).dictionary_encode().indices
 
 
-def _candidates(limit: int, percent: int):
+def _candidates(limit: int, percent: int, near=_near):
     """The rows of a block pair that may link to one of another component."""
 
     def run(table: pa.Table) -> pa.Table:
         found = np.zeros(len(table), bool)
-        for i, later in _near(table, limit, percent):
+        for i, later in near(table, limit, percent):
             found[later] = True
             found[i] |= len(later) > 0
-        return table.filter(pa.array(found))
+        return table.filter(pa.array(found)).drop_columns([c for c in table.column_names if c == "parity"])
 
     return run
 
@@ -447,13 +536,18 @@ def _wide_links(join: _Join, rows: DataFrame) -> DataFrame:
     """Links of different components inside large nodes.
 
     The pairs of a dense group that just miss the threshold never become rows: one pass
-    over the sketches leaves the classes that may link in a block pair, a second one has their
-    texts and confirms them.
+    over the sketches leaves the classes that may link in a block pair, a second one has their parity
+    bits and leaves fewer, a third one has the texts of those and confirms them.
     """
     dealt = _blocks(rows)
     kept = dealt.groupBy("key").applyInArrow(_candidates(join.limit, join.percent), dealt.schema)
     kept = write_through(kept, "candidates")
-    sides = kept.join(join.packed_texts(kept.select(*ROW_KEY)), "cls").select(*dealt.columns, "packed")
+    texts = join.packed_texts(kept.select(*ROW_KEY))
+    parities = kept.join(_sized(texts.select("cls", "parity"), "parity"), "cls").select(*dealt.columns, "parity")
+    fewer = parities.groupBy("key").applyInArrow(_candidates(join.limit, join.percent, _nearer), dealt.schema)
+    fewer = write_through(fewer, "near-candidates")
+    packed = _sized(restricted(texts, fewer, ["cls"]).select("cls", "packed"), "packed")
+    sides = fewer.join(packed, "cls").select(*dealt.columns, "packed")
     links = sides.groupBy("key").applyInArrow(
         _block_links(join.width, join.limit, join.percent), "u binary, v binary"
     )

@@ -124,6 +124,24 @@ def test_trees_reach_the_target_at_every_depth(levels):
     assert early + (1 - near_dedup.kept_by_tree(0.8, levels)) ** trees <= 1 - near_dedup.TARGET_RECALL
 
 
+def test_parity_bits_never_part_a_link():
+    """They give a lower bound of the difference, over any two widths; at the threshold they keep a pair."""
+    draw = np.random.default_rng(3)
+    for size in (1, 2, 31, 33, 64, 500, 5_000):
+        for other in {size, math.ceil(size * 0.8), size * 3 + 1}:
+            common = draw.integers(0, min(size, other) + 1)
+            pool = np.unique(draw.integers(0, 2**64, 4 * (size + other), dtype=np.uint64))
+            draw.shuffle(pool)
+            one = np.sort(pool[:size])
+            two = np.sort(np.concatenate([one[:common], pool[size : size + other - common]]))
+            ends = [np.frombuffer(near_dedup.parity_bits(h), np.uint64) for h in (one, two)]
+            apart = len(np.setxor1d(one, two))
+            assert near_dedup.least_apart(*ends) == near_dedup.least_apart(*ends[::-1]) <= apart
+            linked = 100 * common >= 80 * (size + other - common)
+            assert linked == (apart <= near_dedup._may_differ(np.int64(size + other), 80))
+    assert len(near_dedup.parity_bits(np.empty(0, np.uint64))) == 8
+
+
 def test_near_duplicates_in_a_dense_group(spark, monkeypatch):
     """Pairs at the threshold in a group whose nodes are large down to the last level; no other link joins them."""
     monkeypatch.setattr(near_dedup.similar_classes, "__defaults__", (6, near_dedup.MAX_LEVELS))
