@@ -89,6 +89,18 @@ UNKNOWN_TEXTS = (
 QUARTILE_LABELS = ("Q1", "Q2", "Q3", "Q4")
 QUARTILE_PROBABILITIES = (0.25, 0.5, 0.75)
 
+# Fixed values of the 24-hour protocol: static columns and their token names, age groups (exclusive upper
+# edge in years), gap buckets (inclusive upper edge in minutes), families in order within a minute.
+PROTOCOL_STATIC = (
+    ("age", "AGE_BIN"),
+    ("gender", "GENDER"),
+    ("unitadmitsource", "UNIT_ADMIT_SOURCE"),
+    ("unittype", "UNIT_TYPE"),
+)
+AGE_GROUPS = ((18, "0_17"), (40, "18_39"), (60, "40_59"), (80, "60_79"), (None, "80_PLUS"))
+PROTOCOL_GAPS = ((15, "0_15M"), (60, "16_60M"), (180, "61_180M"), (360, "181_360M"), (None, "GT_360M"))
+FAMILY_ORDER = ("DX", "LAB", "VITAL", "MED", "INFUSION", "TREATMENT")
+
 # Gap buckets: inclusive upper edge in minutes, name; the last one is open.
 GAP_BUCKETS = (
     (15, "LE_15M"),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartweave.contract import TOKEN_SEPARATOR, UNKNOWN_TEXTS
+from chartweave.contract import AGE_GROUPS, TOKEN_SEPARATOR, UNKNOWN_TEXTS
 
 # Every character that counts as white space when a text is stripped. Spark's
 # plain trim() removes the space character only.
@@ -69,26 +69,46 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _years(folded: Column) -> Column:
+    """Years in a folded age text; "> 89" and infinity count as 90."""
+    return (
+        F.when(folded.startswith(">") & folded.contains("89"), F.lit(90.0))
+        .when(
+            folded.rlike(_AGE_NUMBER),
+            F.replace(folded, F.lit("_"), F.lit("")).try_cast("double"),
+        )
+        .when(folded.rlike(r"^\+?inf(inity)?$"), F.lit(90.0))
+    )
+
+
 def age_bin(age: Column) -> Column:
     """Ten-year bin such as ``60_70``; 90 and above, and "> 89", give ``90_PLUS``."""
 
-    def years(folded: Column) -> Column:
-        return (
-            F.when(folded.startswith(">") & folded.contains("89"), F.lit(90.0))
-            .when(
-                folded.rlike(_AGE_NUMBER),
-                F.replace(folded, F.lit("_"), F.lit("")).try_cast("double"),
-            )
-            .when(folded.rlike(r"^\+?inf(inity)?$"), F.lit(90.0))
-        )
-
     def label(years: Column) -> Column:
         decade = (F.floor(years / 10) * 10).cast("int")
         return F.when(years >= 90, F.lit("90_PLUS")).when(
             years >= 0, F.concat_ws("_", decade.cast("string"), (decade + 10).cast("string"))
         )
 
-    return once(once(fold_text(age), years), label)
+    return once(once(fold_text(age), _years), label)
+
+
+def spaced_text(text: Column) -> Column:
+    """The protocol's token part: upper case, runs of white space become one ``_``; unknown texts give null."""
+    known = F.regexp_replace(fold_text(text), _UNKNOWN, "")
+    return F.nullif(F.regexp_replace(F.upper(known), f"[{WHITE_SPACE}]+", "_"), F.lit(""))
+
+
+def age_group(age: Column) -> Column:
+    """The protocol's age group such as ``60_79``; "> 89" gives ``80_PLUS``, no usable age null."""
+
+    def label(years: Column) -> Column:
+        group = F.when(years < 0, F.lit(None).cast("string"))
+        for upper, name in AGE_GROUPS:
+            group = group.when(years.isNotNull() if upper is None else years < upper, F.lit(name))
+        return group
+
+    return once(once(fold_text(age), _years), label)
 
 
 def gender_part(gender: Column) -> Column:

@@ -248,3 +248,24 @@ def bootstrap_intervals(
     return gathered.select(
         "metric", end(low).alias("low"), end(high).alias("high"), used.cast("bigint").alias("used"), "skipped"
     )
+
+
+def result_summary(
+    predictions: DataFrame, group: str, score: str = "score", label: str = "label", by: Sequence[str] = ()
+) -> DataFrame:
+    """``(*by, patients, stays, positive_stays, negative_stays, auroc, average_precision, note)``.
+
+    Counts cover all rows, those without a score or label too; ``group`` names the patient, null ids
+    are none. Groups of ``by`` may be null.
+    """
+    counts = predictions.groupBy(*by).agg(
+        F.count_distinct(group).alias("patients"),
+        F.count(F.lit(1)).alias("stays"),
+        F.count_if(F.col(label) == 1).alias("positive_stays"),
+        F.count_if(F.col(label) == 0).alias("negative_stays"),
+    )
+    found = ranking_metrics(predictions, score, label, by).select(
+        *[F.col(c).alias(f"__{c}") for c in by], "auroc", "average_precision", "note"
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return counts.join(found, same or F.lit(True)).drop(*[f"__{c}" for c in by])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import protocol
+from checks import protocol, protocol_events
 
 USER_ORIGIN = 1705276800000000
 ORDER_ORIGIN = 899251200000000
@@ -460,7 +460,7 @@ SELECT stay AS patientunitstayid, CAST(mortality AS INTEGER) AS mortality,
   string_agg(coalesce(CAST(CAST(t AS BIGINT) AS VARCHAR), 'null'), '|' ORDER BY position)
     AS times_text
 FROM kept GROUP BY stay, mortality""",
-    } | protocol.oracle_sql(
+    } | protocol_events.oracle_sql() | protocol.oracle_sql(
         f"WITH {u}, {FITTED}, {sequence(True, True)}, {kept(5)}",
         f"WITH {o}, {FITTED}, {sequence(True, False)}, {kept(1)}",
         f"WITH {u}",

@@ -44,7 +44,7 @@ from chartweave.sources.stream_files import (
     read_event_streams_jsonl,
     write_event_streams_jsonl,
 )
-from checks import protocol
+from checks import protocol, protocol_events
 from checks.mappings import (
     ORDER_ORIGIN,
     ORDER_RULES,
@@ -554,4 +554,4 @@ def queries() -> dict[str, Query]:
         "csv_source": csv_source,
         "jsonl_roundtrip": jsonl_roundtrip,
         "prepare_job": prepare_job,
-    } | protocol.queries()
+    } | protocol.queries() | protocol_events.queries()
