@@ -273,3 +273,19 @@ def test_command(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         command.main([*base, "--representation", "raw"])
     assert not other.exists()
+
+
+def test_command_reads_cells_with_line_breaks(spark, tmp_path, capsys):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw_tables(raw)
+    source = raw / "diagnosis.csv"
+    header = source.read_text().splitlines()[0].split(",")
+    cells = {"patientunitstayid": "101", "diagnosisstring": '"chest\npain"', "diagnosisoffset": "5"}
+    source.write_text(source.read_text().rstrip("\n") + "\n" + ",".join(cells.get(c, "") for c in header) + "\n")
+    base = ["--raw_dir", str(raw), "--out_dir", str(out), "--min_events_per_stay", "1"]
+    assert command.main(base) == 2
+    assert "multiline" in capsys.readouterr().err
+    options = ["--multiline", "--unordered", "--id_type", "string", "--skip_row_checks"]
+    assert command.main([*base, *options]) == 0
+    text = "".join(f.read_text() for f in (out / "event_streams.jsonl").glob("part-*"))
+    assert "DX::CHEST_PAIN" in text
