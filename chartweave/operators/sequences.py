@@ -7,8 +7,8 @@ with gap tokens. Outcomes, the universe of stays and the lengths fall out of
 the same aggregation, so no join follows.
 
 A stay whose events would not fit in a row is taken out beforehand: its
-distinct events are range-partitioned by stay, time and token, and every range
-becomes a row of its own. Nothing is dropped, capped or sampled.
+distinct events are range-partitioned by stay, time and token, and what a stay
+has in a range is cut into rows. Nothing is dropped, capped or sampled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from chartweave.contract import STAY_ID, VITAL_TABLES
 from chartweave.functions.labels import decided_label, deciding_state
 from chartweave.functions.numbers import gap_token
 from chartweave.operators.categorical import clinical_rows, static_events, static_rows
+from chartweave.operators.long_streams import LEAST_RANGE
 from chartweave.operators.numeric import classify_measurements, measurement_rows, vital_columns
 from chartweave.operators.outcomes import LabelRules, label_masks
 from chartweave.operators.shared_storage import write_through
@@ -38,7 +39,7 @@ from chartweave.operators.tables import (
 
 # A stay is one row at every size, unless a caller asks for rows of bounded size.
 MAX_ROW_EVENTS: int | None = None
-# Events of one range of a stay that has more than that.
+# Events of one range of hot stays, and the most that a row of theirs may have.
 RANGE_EVENTS = 100_000
 # Rows of a table about hot stays (ids, ranges) that may be broadcast.
 MAX_BROADCAST_ROWS = 500_000
@@ -46,10 +47,10 @@ MAX_BROADCAST_ROWS = 500_000
 # Sort key of an event without a time: after every finite one.
 _NO_TIME = float("inf")
 
-# One row per stay, or per range of a hot stay:
+# One row per stay, or per piece of a hot stay:
 #   state      deciding label state of the stay
-#   chunk      number of the range, 0 for ordinary stays
-#   chunks     ranges of the stay
+#   chunk      number of the piece, 0 for ordinary stays
+#   chunks     pieces of the stay
 #   start      tokens of the stay before this row
 #   n_events   tokens of the whole stay
 #   events     array of (token, event_time)
@@ -239,16 +240,22 @@ def hot_sequences(
     with_gaps: bool,
     fields: int,
 ) -> DataFrame:
-    """Sequences of hot stays, each split into ranges of ordered events.
+    """Sequences of hot stays, each split into pieces of ordered events.
 
     The distinct events are hashed on stay, time and token together (copies
     merge map-side), then range-partitioned on the same columns, so that any
     stay, instant or null time splits evenly. The ranges are written once; from
     there on they are plain data. What crosses a range (the last time before
-    it, its number, the length of the stay) comes from one summary row a range.
+    it, the pieces before it, the length of the stay) comes from one summary row
+    a stay and range. The number of ranges follows the values of all hot stays,
+    never the size of a row: a range holds many stays, and cuts what it has of
+    each into pieces.
     """
-    range_events = min(RANGE_EVENTS, max(1, max_row_events // 2))
-    ranges = max(2, math.ceil(hot.values / range_events))
+    piece_events = min(RANGE_EVENTS, max(1, max_row_events // 2))
+    usual = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(
+        2, math.ceil(hot.values / RANGE_EVENTS), min(usual, math.ceil(hot.values / LEAST_RANGE))
+    )
     small_rows = ranges + hot.count
     ids = _small(hot.ids, hot.count)
     distinct = (
@@ -273,19 +280,20 @@ def hot_sequences(
             F.max(finite).alias("last_moment"),
         )
         .withColumn("carried", F.max("last_moment").over(before))
-        .withColumn("chunk", F.row_number().over(by_part) - 1)
     )
     opened = F.coalesce((F.col("carried") < F.col("first_moment")).cast("int"), F.lit(0))
     gaps = F.greatest(F.col("instants") - 1 + opened, F.lit(0)) if with_gaps else F.lit(0)
     stay = Window.partitionBy(STAY_ID)
+    length = F.col("rows") + gaps
+    pieces = F.ceil(length / piece_events)
     parts = parts.select(
         STAY_ID,
         "part",
         "carried",
-        "chunk",
-        F.count("*").over(stay).cast("int").alias("chunks"),
-        F.coalesce(F.sum(F.col("rows") + gaps).over(before), F.lit(0)).alias("earlier"),
-        F.sum(F.col("rows") + gaps).over(stay).alias("dynamic_events"),
+        F.coalesce(F.sum(pieces).over(before), F.lit(0)).cast("int").alias("chunk"),
+        F.sum(pieces).over(stay).cast("int").alias("chunks"),
+        F.coalesce(F.sum(length).over(before), F.lit(0)).alias("earlier"),
+        F.sum(length).over(stay).alias("dynamic_events"),
     )
 
     timelines = ranged.groupBy(STAY_ID, "part").agg(
@@ -313,19 +321,31 @@ def hot_sequences(
         if with_gaps
         else _without_gaps(F.col("timeline"))
     )
+    rows = rows.withColumn("events", events)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("events") - 1, F.lit(0)), F.lit(piece_events))
+    pieces = F.transform(starts, lambda at: F.slice(F.col("events"), at + 1, piece_events))
+    about_stay = ["mask", "chunks", "dynamic_events", *(["context"] if with_context else [])]
+    rows = rows.select(
+        STAY_ID,
+        *about_stay,
+        F.coalesce("chunk", F.lit(0)).alias("first_chunk"),
+        "earlier",
+        F.posexplode(pieces).alias("piece", "events"),
+    ).withColumn("chunk", F.col("first_chunk") + F.col("piece"))
     prefix = F.size("context") if with_context else F.lit(0)
+    events = F.col("events")
     if with_context:
-        first = F.coalesce("chunk", F.lit(0)) == 0
-        static = F.when(first, _static_prefix(F.col("context"))).otherwise(
+        static = F.when(F.col("chunk") == 0, _static_prefix(F.col("context"))).otherwise(
             F.array().cast("array<struct<token:string,event_time:double>>")
         )
         events = F.concat(static, events)
+    start = F.col("earlier") + F.col("piece") * F.lit(piece_events) + prefix
     return rows.select(
         STAY_ID,
         deciding_state(F.col("mask"), fields).alias("state"),
-        F.coalesce("chunk", F.lit(0)).alias("chunk"),
+        "chunk",
         F.coalesce("chunks", F.lit(1)).alias("chunks"),
-        F.when(F.col("chunk") > 0, F.col("earlier") + prefix).otherwise(F.lit(0)).alias("start"),
+        F.when(F.col("chunk") > 0, start).otherwise(F.lit(0)).alias("start"),
         (F.coalesce("dynamic_events", F.lit(0)) + prefix).alias("n_events"),
         events.alias("events"),
     )
