@@ -6,9 +6,12 @@ any partitioning. Scores are ordered across range partitions; no task sees a who
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.operators.running import dense_ids, running_totals
@@ -170,10 +173,36 @@ def positive_weight(labels: DataFrame, label: str = "label", by: Sequence[str] =
     return counts.withColumn("weight", weight)
 
 
-def drawn_group(seed: int, replicate: Column, draw: Column, groups: int) -> Column:
-    """The group that one draw of one replicate takes: a hash of the three, so any task repeats it."""
-    text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), draw.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), F.lit(groups))
+def _draws(seed: int, groups: int):
+    """Arrow batches of draw ids to (replicate, number): a hash of seed, replicate and draw, so any task repeats it.
+
+    The number is that of the first 15 digits of the MD5 text, modulo the groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            replicates, draws = np.divmod(batch.column("id").to_numpy(), groups)
+            digests = b"".join(
+                [md5(b"%d:%d:%d" % (seed, r, d), usedforsecurity=False).digest() for r, d in zip(replicates.tolist(), draws.tolist())]
+            )
+            numbers = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64) % groups
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(replicates.astype(np.int32)), pa.array(numbers, pa.int64())], names=["replicate", "number"]
+            )
+
+    return run
+
+
+def drawn_times(spark: SparkSession, replicates: int, groups: int, seed: int = SEED) -> DataFrame:
+    """``(number, replicate, times)``: how often each replicate draws each group, if it does.
+
+    Draws are dealt by group once; counts and a join on the group follow without moving them again.
+    A group is drawn about once a replicate, so none is hot.
+    """
+    draws = spark.range(replicates * groups).mapInArrow(_draws(seed, groups), "replicate int, number bigint")
+    return draws.repartition("number").groupBy("number", "replicate").agg(F.count(F.lit(1)).alias("times"))
 
 
 def resampled_metrics(
@@ -197,11 +226,7 @@ def resampled_metrics(
         return ranking_metrics(
             predictions.where(F.lit(False)).select(F.lit(0).alias("replicate"), score, label), score, label, ["replicate"]
         )
-    draws = spark.range(replicates * groups).select(
-        F.expr(f"CAST(id div {groups} AS INT)").alias("replicate"), (F.col("id") % groups).alias("draw")
-    )
-    number = drawn_group(seed, F.col("replicate"), F.col("draw"), groups).alias("number")
-    times = draws.select("replicate", number).groupBy("replicate", "number").agg(F.count(F.lit(1)).alias("times"))
+    times = drawn_times(spark, replicates, groups, seed)
     # Scores of a group are counted first, so a group with many rows is joined as few.
     counted = score_counts(rows.withColumnRenamed(group, "member"), score, label, ["member"])
     counted = counted.join(numbered, "member").drop("member")

@@ -139,6 +139,15 @@ def test_bootstrap_replays_its_draws(spark, ranges):
         assert row.high == pytest.approx(values[math.ceil(len(values) * 0.975) - 1])
 
 
+def test_draws_move_once(spark):
+    times = metrics.drawn_times(spark, 30, 50)
+    rows = [tuple(row) for row in times.collect()]
+    assert len({row[:2] for row in rows}) == len(rows) and {row[0] for row in rows} <= set(range(50))
+    assert all(sum(n for _, r, n in rows if r == replicate) == 50 for replicate in range(30))
+    plan = times.groupBy("number").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_bootstrap_counts_replicates_of_one_class(spark):
     rows = [(1, "a", 1, 1, 0.5, "x"), (2, "b", 1, 0, 0.2, "x")]
     found = metrics.bootstrap_intervals(spark.createDataFrame(rows, SCHEMA), "patient", replicates=30).collect()
