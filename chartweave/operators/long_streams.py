@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.contract import STAY_ID
+from chartweave.contract import EVENT_FAMILIES, STAY_ID
 from chartweave.functions.labels import decided_label, deciding_state
 from chartweave.functions.numbers import gap_token
 from chartweave.functions.text import token_family
@@ -34,7 +34,8 @@ class LongStreams:
     """Written rows and summaries of all stays; the results derive from them.
 
     ranged: stay, moment, context, token, part, distinct; a null token only says that the stay exists.
-    parts: stay, part, carried (last time before), earlier (positions before), gaps and length (of the part).
+    parts: stay, part, carried (last time before), earlier (positions before), gaps and length (of the part),
+        and for each family the tokens of the part, gap tokens apart.
     stays: stay, state, n_events, for every stay of every table.
     """
 
@@ -89,15 +90,13 @@ class LongStreams:
     @property
     def statistics(self) -> DataFrame:
         """One row, as ``event_statistics`` gives it."""
-        # Gap tokens are counted by the summary, so no order is needed here.
+        # All tokens are counted by the summary, so no row is read again.
         kept_parts = self.parts.join(self.kept.select(STAY_ID), STAY_ID, "left_semi")
-        rows = self.ranged.where(F.col("token").isNotNull()).join(
-            kept_parts.select(STAY_ID, "part"), [STAY_ID, "part"], "left_semi"
-        )
-        own = rows.groupBy(token_family(F.col("token")).alias("family")).agg(F.count("*").alias("rows"))
+        counted = kept_parts.agg(*[F.sum(c).alias(c) for c in (*EVENT_FAMILIES, "gaps")])
+        own = [F.struct(F.lit(f).alias("family"), F.col(f).alias("rows")) for f in EVENT_FAMILIES]
         gap_family = token_family(gap_token(F.lit(1.0))).alias("family")
-        gaps = kept_parts.groupBy(gap_family).agg(F.sum("gaps").alias("rows"))
-        tokens = own.unionByName(gaps).select(
+        families = F.array(*own, F.struct(gap_family, F.col("gaps").alias("rows")))
+        tokens = counted.select(F.inline(families)).select(
             "family",
             F.lit(True).alias("kept"),
             F.lit(False).alias("first"),
@@ -141,15 +140,18 @@ def long_streams(
     finite = F.when(F.col("token").isNotNull(), finite)
     by_part = Window.partitionBy(STAY_ID).orderBy("part")
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    family = F.col("family")
     parts = (
-        ranged.groupBy(STAY_ID, "part", finite.alias("instant"))
-        .agg(F.count("token").alias("rows"))
+        ranged.withColumn("family", token_family(F.col("token")))
+        .groupBy(STAY_ID, "part", finite.alias("instant"))
+        .agg(F.count("token").alias("rows"), *[F.count_if(family == f).alias(f) for f in EVENT_FAMILIES])
         .groupBy(STAY_ID, "part")
         .agg(
             F.sum("rows").alias("rows"),
             F.count("instant").alias("instants"),
             F.min("instant").alias("first"),
             F.max("instant").alias("last"),
+            *[F.sum(f).alias(f) for f in EVENT_FAMILIES],
         )
         .withColumn("carried", F.max("last").over(before))
     )
@@ -157,7 +159,7 @@ def long_streams(
     gaps = F.greatest(F.col("instants") - 1 + opened, F.lit(0)) if with_gaps else F.lit(0)
     parts = parts.withColumn("gaps", gaps.cast("bigint")).withColumn("length", F.col("rows") + F.col("gaps"))
     earlier = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("earlier")
-    parts = parts.select(STAY_ID, "part", "carried", earlier, "gaps", "length")
+    parts = parts.select(STAY_ID, "part", "carried", earlier, "gaps", "length", *EVENT_FAMILIES)
     parts = write_through(parts, "stream-parts")
 
     # Every stay of every table: those with rows, and those that only the label tables know.
