@@ -232,6 +232,14 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= MAX_BROADCAST_ROWS else frame
 
 
+def _joined_tables(tables: Tables, ids: DataFrame, how: str) -> dict[str, DataFrame]:
+    """The rows of the stays in ``ids``, or of all others; tables without stay ids stay as they are."""
+    return {
+        table: frame.join(ids, STAY_ID, how) if STAY_ID in frame.columns else frame
+        for table, frame in tables.items()
+    }
+
+
 def hot_sequences(
     events: DataFrame,
     about: DataFrame,
@@ -242,6 +250,8 @@ def hot_sequences(
 ) -> DataFrame:
     """Sequences of hot stays, each split into pieces of ordered events.
 
+    ``events`` and ``about`` are those of hot stays alone.
+
     The distinct events are hashed on stay, time and token together (copies
     merge map-side), then range-partitioned on the same columns, so that any
     stay, instant or null time splits evenly. The ranges are written once; from
@@ -257,9 +267,12 @@ def hot_sequences(
         2, math.ceil(hot.values / RANGE_EVENTS), min(usual, math.ceil(hot.values / LEAST_RANGE))
     )
     small_rows = ranges + hot.count
-    ids = _small(hot.ids, hot.count)
+    # Counted in the groups: a filter on the token would build it once more, for every row.
     distinct = (
-        events.where(F.col("token").isNotNull()).join(ids, STAY_ID, "left_semi").distinct()
+        events.groupBy(STAY_ID, "moment", "token")
+        .agg(F.count("token").alias("usable"))
+        .where(F.col("usable") > 0)
+        .drop("usable")
     )
     ranged = write_through(
         distinct.repartitionByRange(ranges, STAY_ID, "moment", "token").withColumn(
@@ -303,7 +316,7 @@ def hot_sequences(
     known = [F.bit_or("mask").alias("mask")]
     if with_context:
         known.append(F.sort_array(F.collect_set("context")).alias("context"))
-    known_rows = about.join(ids, STAY_ID, "left_semi").groupBy(STAY_ID).agg(*known)
+    known_rows = about.groupBy(STAY_ID).agg(*known)
     stays = hot.ids.join(known_rows, STAY_ID, "left")
     if with_context:
         no_context = F.array().cast(stays.schema["context"].dataType)
@@ -363,16 +376,22 @@ def stay_sequences(
     rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows of ``SEQUENCE_COLUMNS`` for every stay of every table."""
-    events = event_rows(tables, thresholds, threshold_count)
-    about = about_rows(label_rows(tables, rules), context_rows(tables) if with_static else None)
     fields = len(rules.fields)
+
+    def rows_of(some: Tables) -> tuple[DataFrame, DataFrame]:
+        context = context_rows(some) if with_static else None
+        return event_rows(some, thresholds, threshold_count), about_rows(label_rows(some, rules), context)
+
     hot = find_hot_stays(tables, max_row_events, rows)
     if hot is None:
-        return ordinary_sequences(fact_rows(events, about), with_gaps, fields)
+        return ordinary_sequences(fact_rows(*rows_of(tables)), with_gaps, fields)
+    # Rows are dealt before tokens are built, so that no token is built twice.
     ids = _small(hot.ids, hot.count)
-    ordinary = fact_rows(events, about).join(ids, STAY_ID, "left_anti")
+    ordinary = fact_rows(*rows_of(_joined_tables(tables, ids, "left_anti")))
     return ordinary_sequences(ordinary, with_gaps, fields).unionByName(
-        hot_sequences(events, about, hot, max_row_events, with_gaps, fields)
+        hot_sequences(
+            *rows_of(_joined_tables(tables, ids, "left_semi")), hot, max_row_events, with_gaps, fields
+        )
     )
 
 
