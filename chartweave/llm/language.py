@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chartweave.llm.shared import ROW_KEY, dropping, identified, located, packed, write_through
+from chartweave.llm.shared import ROW_KEY, dropping, identified, located, packed, write_batched
 from chartweave.llm.word_sets import buffers
 
 # Families of common language codes; a code that isn't here is its own family.
@@ -117,7 +117,7 @@ def _learned(group: pd.DataFrame) -> pd.DataFrame:
     """One model from the bounded sample of its task: 'family' or 'a|b'."""
     task = group["task"].iloc[0]
     group = group.sort_values(["rank", "lang"])
-    x = np.stack(group["weights"].to_numpy()).astype(np.float32)
+    x = np.stack(group["weights"].to_numpy()).astype(np.float32, copy=False)
     if task == "family":
         names = sorted({family_of(lang) for lang in group["lang"]})
         y = np.array([names.index(family_of(lang)) for lang in group["lang"]])
@@ -197,7 +197,7 @@ def fit_language_model(docs: DataFrame, text: str, lang: str, usable: Column | N
     if langs:
         few = few.where(F.col("rank") <= F.element_at(share, F.col("lang")))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    sample = write_through(
+    sample = write_batched(
         few.mapInArrow(_weights, "lang string, rank double, weights array<float>")
         .dropDuplicates(["lang", "rank"])
         .withColumn("place", first)

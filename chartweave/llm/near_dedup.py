@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartweave.llm.components import connected_components
-from chartweave.llm.shared import MAX_BROADCAST_KEYS, ROW_KEY, dropping, hinted, identified, located, restricted, write_through
+from chartweave.llm.shared import MAX_BROADCAST_KEYS, ROW_KEY, dropping, hinted, identified, located, restricted, write_batched, write_through
 from chartweave.llm.word_sets import mixed, shingle_sets
 
 POSITIONS = 128
@@ -56,7 +56,7 @@ JOINED = 64
 #: Classes of one block and their shingles, about; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 #: Sets that a task keeps while it confirms pairs, in bytes; then it starts afresh.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 32 << 20
 #: Packed texts, or parity bits, of up to so many bytes together (with ROW_BYTES a row) are broadcast
 #: to their pairs; more are joined.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
@@ -302,7 +302,7 @@ class _Join:
         """(cls, size, parity, packed) of the texts at these places, each once."""
         chosen = restricted(self.texts, keys, ROW_KEY).select("text")
         kind = "cls binary, size bigint, parity binary, packed binary"
-        return write_through(chosen.mapInArrow(_texts(self.width), kind), "texts")
+        return write_batched(chosen.mapInArrow(_texts(self.width), kind), "texts")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs of classes, checked on full sets made from a text of each.
@@ -318,10 +318,10 @@ class _Join:
         ).select("k.*")
         texts = self.packed_texts(keys)
         may = _both_ends(pairs.select("u", "v"), texts, ["size", "parity"])
-        near = write_through(may.mapInArrow(_not_too_far(self.percent), "u binary, v binary"), "near-pairs")
+        near = write_batched(may.mapInArrow(_not_too_far(self.percent), "u binary, v binary"), "near-pairs")
         ends = near.select(F.explode(F.array("u", "v")).alias("cls"))
         sides = _both_ends(near, restricted(texts, ends, ["cls"]), ["packed"])
-        return write_through(
+        return write_batched(
             sides.mapInArrow(_confirmed(self.width, self.percent), "u binary, v binary"), "confirmed"
         )
 
@@ -648,7 +648,7 @@ def near_duplicates(
         "__file", "__row", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].cast("string").alias("text")
     )
     kind = dict(rows.dtypes)["doc_id"]
-    sketched = write_through(
+    sketched = write_batched(
         rows.mapInArrow(
             _sketches(width),
             f"__file bigint, __row bigint, doc_id {kind}, cls binary, n bigint, "

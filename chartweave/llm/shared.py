@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chartweave.operators.shared_storage import shared_folder, write_through
 
@@ -14,6 +17,36 @@ MAX_BROADCAST_KEYS = 1_000_000
 
 ROW_KEY = ["__file", "__row"]
 
+#: Rows of texts travel to Python in Arrow batches of about so many bytes, or of one row.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside send Arrow batches of BATCH_BYTES at most, unless the session asks for less.
+
+    Spark's default of 64 MB, twice a core in the executor and once more in the worker, is memory
+    that long texts fill.
+    """
+    before = spark.conf.get(_BATCH_CONF, None)
+    size = int(re.match(r"-?\d+", before or "-1").group())
+    if before is None or size <= 0 or not before.rstrip("bB").isdigit() or size > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_CONF)
+        else:
+            spark.conf.set(_BATCH_CONF, before)
+
+
+def write_batched(frame: DataFrame, name: str) -> DataFrame:
+    """``write_through`` for a table whose tasks send texts to Python."""
+    with short_batches(frame.sparkSession):
+        return write_through(frame, name)
+
 
 def unused(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column has it (case does not matter)."""
@@ -67,7 +100,7 @@ def hinted(table: DataFrame) -> DataFrame:
 
 def dropping(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``rows`` whose key is not in ``keys``; the keys are counted before a broadcast."""
-    keys = write_through(keys.select(*on), "dropped")
+    keys = write_batched(keys.select(*on), "dropped")
     return rows.join(hinted(keys), on, "left_anti")
 
 
@@ -82,6 +115,7 @@ def fresh_path(spark, name: str) -> str:
 
 
 __all__ = [
+    "BATCH_BYTES",
     "MAX_BROADCAST_KEYS",
     "ROW_KEY",
     "dropping",
@@ -91,7 +125,9 @@ __all__ = [
     "located",
     "packed",
     "restricted",
+    "short_batches",
     "unused",
     "without_space",
+    "write_batched",
     "write_through",
 ]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a slice, unless one text alone has more.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
@@ -63,11 +63,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def slices(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about SLICE_BYTES together."""
+def slices(data: np.ndarray, starts: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``size`` (SLICE_BYTES, if None) bytes together."""
+    size = SLICE_BYTES if size is None else size
     first, n = 0, len(starts) - 1
     while first < n:
-        last = int(np.searchsorted(starts, starts[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(starts, starts[first] + size, "right")) - 1
         last = min(n, max(last, first + 1))
         yield first, last
         first = last
