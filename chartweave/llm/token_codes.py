@@ -15,23 +15,33 @@ few places without decoding anything before it.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from chartweave.llm.shared import fresh_path, hinted, packed, write_through
+from chartweave.llm.shared import fresh_path, hinted, packed, short_batches, write_batched, write_through
+from chartweave.llm.word_sets import buffers, slices, word_bounds
 
 END_ID = 1
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 #: Texts of about so many bytes go to one part.
 PART_BYTES = 32 << 20
-#: Distinct words whose ids a worker keeps; then it starts afresh.
-KEPT_WORDS = 300_000
+#: Texts whose words are looked up together, in bytes; a longer text is a slice of its own.
+SLICE_BYTES = 2 << 20
+#: Distinct words and their ids that a task keeps, in bytes; then it starts afresh.
+KEPT_BYTES = 24 << 20
+#: Words of a line for the tokenizer, and of one call of it.
+LINE_WORDS, CALL_WORDS = 64, 16_384
+#: Signs to part words in a line; the first that is a single id is taken.
+MARKS = "\u00a6\u00b6\u00a7|~^"
 _RANK_BITS = 512
 
 
@@ -89,57 +99,106 @@ class Block:
             # Ones before the place: directory, then whole words, then bits of its own word.
             before = ranks[places // _RANK_BITS].astype(np.int64)
             first = places // _RANK_BITS * (_RANK_BITS // 64)
-            for k in range(_RANK_BITS // 64 - 1):
-                inner = first + k
-                use = inner < word
-                before[use] += np.bitwise_count(bits[inner[use]])
+            if len(places) > len(bits):  # many places: each word is counted once
+                ones = np.zeros((len(ranks), _RANK_BITS // 64), np.int64)
+                ones.ravel()[: len(bits)] = np.bitwise_count(bits)
+                before += (np.cumsum(ones, axis=1) - ones).ravel()[word]
+            else:
+                for k in range(_RANK_BITS // 64 - 1):
+                    inner = first + k
+                    use = inner < word
+                    before[use] += np.bitwise_count(bits[inner[use]])
             before += np.bitwise_count(bits[word] & ((np.uint64(1) << bit) - np.uint64(1)))
             places, shift = before, shift + 8
         return out
 
 
+@cache
+def _tokenizer(path: str):
+    """The tokenizer of a worker: loaded once, not by each task anew."""
+    # A task has one core; the library's own threads would take those of others, and memory each.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of texts, each distinct run of non-space characters being encoded once.
 
     White space always ends a word for the tokenizer, so the ids of a text are those of its
-    runs one after another. New runs of a batch are encoded by the library in one call.
+    runs one after another. Runs and their ids are kept in flat arrays, up to KEPT_BYTES.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer = _tokenizer(path)
+        alone = {mark: self._tokenizer.encode(mark, add_special_tokens=False).ids for mark in MARKS}
+        self._mark, self._mark_id = next(((m, x[0]) for m, x in alone.items() if len(x) == 1), (None, None))
         self._clear()
 
     def _clear(self) -> None:
-        self._place: dict[bytes, int] = {}
-        self._ids, self._ends = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def _add(self, new: list[bytes]) -> None:
-        found = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        base = self._ends[-1][-1]
-        self._ends.append(base + np.cumsum([len(x) for x in lists], dtype=np.int64))
-        self._ids.append(np.fromiter((i for x in lists for i in x), np.uint32))
-        self._place.update(zip(new, range(len(self._place), len(self._place) + len(new)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the number of ids of each text."""
-        if len(self._place) > KEPT_WORDS:
+        self._kept = pa.array([], pa.large_binary())
+        self._kept_ids, self._ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words among the kept ones; new words are encoded and kept."""
+        if self._kept.nbytes + self._kept_ids.nbytes + self._ends.nbytes > KEPT_BYTES:
             self._clear()
-        runs = [t.encode().split() for t in texts]
-        flat = [w for own in runs for w in own]
-        new = list(set(flat) - self._place.keys())
-        if new:
-            self._add(new)
-        ids, ends = np.concatenate(self._ids), np.concatenate(self._ends)
-        self._ids, self._ends = [ids], [ends]
-        place = np.fromiter(map(self._place.__getitem__, flat), np.int64, len(flat))
-        sizes = ends[place + 1] - ends[place]
-        stops = np.concatenate(([0], np.cumsum(sizes)))
-        out = ids[np.repeat(ends[place] - stops[:-1], sizes) + np.arange(stops[-1])]
-        cuts = np.concatenate(([0], np.cumsum([len(own) for own in runs], dtype=np.int64)))
-        return out, np.diff(stops[cuts])
+        place = pc.index_in(words, value_set=self._kept)
+        fresh = place.is_null()
+        new, place = words.filter(fresh), place.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            ids, sizes = self._words(new.cast(pa.large_string()).to_pylist())
+            place[fresh.to_numpy(zero_copy_only=False)] = np.arange(len(new)) + len(self._kept)
+            self._ends = np.concatenate((self._ends, self._ends[-1] + np.cumsum(sizes)))
+            self._kept_ids = np.concatenate((self._kept_ids, ids))
+            self._kept = pa.concat_arrays([self._kept, new])
+        return place
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, and the number of ids of each.
+
+        The library takes words faster in lines, each followed by a mark of one id. A line with
+        more of these ids than marks holds the mark in a word, and its words are encoded one by one.
+        """
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), CALL_WORDS):
+            lines = [words[i : i + LINE_WORDS] for i in range(at, min(at + CALL_WORDS, len(words)), LINE_WORDS)]
+            found = self._ids(["".join([f"{w} {self._mark} " for w in line]) for line in lines]) if self._mark else lines
+            for line, own in zip(lines, found, strict=True):
+                if self._mark:
+                    own = np.array(own, np.uint32)
+                    ends = np.flatnonzero(own == self._mark_id)
+                    if len(ends) == len(line):
+                        ids.append(own[own != self._mark_id])
+                        sizes.append(np.diff(ends, prepend=-1) - 1)
+                        continue
+                single = self._ids(line)
+                sizes.append(np.array([len(x) for x in single], np.int64))
+                ids.append(np.fromiter((i for x in single for i in x), np.uint32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the number of ids of each text."""
+        data, starts = buffers(texts)
+        begins, ends, counts = word_bounds(data, starts)
+        if not len(begins):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        # Words and the gaps between them by turns, so that Arrow finds equal words where they lie.
+        bounds = np.stack((begins, ends), axis=1).ravel()
+        turns = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+        )
+        found = turns.take(pa.array(np.arange(0, len(turns), 2))).dictionary_encode()
+        place = self._places(found.dictionary)[found.indices.to_numpy()]
+        starts, sizes = self._ends[place], self._ends[place + 1] - self._ends[place]
+        stops = np.cumsum(sizes)
+        out = self._kept_ids[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1])]
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        return out, np.diff(np.concatenate(([0], stops))[cuts])
 
 
 def _encoded(path: str, end_id: int):
@@ -166,14 +225,13 @@ def _encoded(path: str, end_id: int):
             return row
 
         for batch in batches:
-            texts, keys = batch.column("text"), batch.column("doc_id").to_pylist()
+            texts, keys = batch.column("text").fill_null(""), batch.column("doc_id").to_pylist()
             if len(keys):
                 part = batch.column("part")[0].as_py()
-            for at in range(0, len(keys), 256):
-                own = [t or "" for t in texts[at : at + 256].to_pylist()]
-                flat, sizes = encoder.encode(own)
+            for first, last in slices(*buffers(texts), SLICE_BYTES):
+                flat, sizes = encoder.encode(texts[first:last])
                 stops = np.cumsum(sizes)
-                for key, stop, size in zip(keys[at : at + 256], stops.tolist(), sizes.tolist(), strict=True):
+                for key, stop, size in zip(keys[first:last], stops.tolist(), sizes.tolist(), strict=True):
                     if held and held + size + 1 > BLOCK_IDS:
                         yield closed()
                     docs.append(key)
@@ -214,9 +272,11 @@ def write_token_codes(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(
+    blocks = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(
         _encoded(tokenizer, end_id), _BLOCK
-    ).write.parquet(path)
+    )
+    with short_batches(docs.sparkSession):
+        blocks.write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -243,7 +303,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            (row,) = batch.slice(at, 1).to_pylist()
             block = Block(row["payload"])
             starts, crcs, at = [], [], 0
             ids = block.ids(np.arange(len(block)))
@@ -273,4 +334,4 @@ def token_codes(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the ids of ``docs`` to the shared folder and digest them from the files."""
     path = fresh_path(docs.sparkSession, "token-codes")
     write_token_codes(docs, path, tokenizer)
-    return document_digests(read_blocks(docs.sparkSession, path))
+    return write_batched(document_digests(read_blocks(docs.sparkSession, path)), "token-digests")
