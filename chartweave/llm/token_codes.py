@@ -15,6 +15,7 @@ few places without decoding anything before it.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -34,16 +35,51 @@ END_ID = 1
 BLOCK_IDS = 1 << 18
 #: Texts of about so many bytes go to one part.
 PART_BYTES = 32 << 20
-#: Texts whose words are looked up together, in bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
-#: Distinct words and their ids that a task keeps, in bytes; then it starts afresh.
-KEPT_BYTES = 24 << 20
+#: Texts whose words are found together, in bytes; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 19
+#: Texts whose distinct words are looked up together, in bytes; a longer batch is a chunk of its own.
+CHUNK_BYTES = 4 << 20
+#: Distinct words and their ids that a worker keeps, in bytes; then it starts afresh.
+KEPT_BYTES = 12 << 20
 #: Words of a line for the tokenizer, and of one call of it.
-LINE_WORDS, CALL_WORDS = 64, 16_384
+LINE_WORDS, CALL_WORDS = 256, 2_048
 #: Signs to part words in a line; the first that is a single id is taken.
 MARKS = "\u00a6\u00b6\u00a7|~^"
 _RANK_BITS = 512
 
+#: A tokenizer that begins with these steps also ends a word between an ASCII letter, digit or sign and
+#: another kind of them, but for a letter after an apostrophe; it lowers ASCII letters.
+_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# Kinds of bytes: 0 control signs and parts of other characters, 1 letters, 2 digits, 3 other signs, 4 apostrophe.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x27] = 4
+_CUT = np.zeros((5, 5), bool)
+_CUT[1, 2:] = _CUT[2, [1, 3, 4]] = _CUT[3, 1:3] = _CUT[4, 2] = True
+
 
 def encode_block(ids: np.ndarray) -> bytes:
     """The payload of a sequence of unsigned 32-bit ids."""
@@ -123,87 +159,195 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _joined(ids: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some entries one after another, and where each entry's end, after a 0."""
+    starts, sizes = ends[places], ends[places + 1] - ends[places]
+    stops = np.concatenate(([0], np.cumsum(sizes)))
+    return ids[np.repeat(starts - stops[:-1], sizes) + np.arange(stops[-1])], stops
+
+
 class WordEncoder:
     """Ids of texts, each distinct run of non-space characters being encoded once.
 
     White space always ends a word for the tokenizer, so the ids of a text are those of its
-    runs one after another. Runs and their ids are kept in flat arrays, up to KEPT_BYTES.
+    runs one after another; if it has the known steps, runs are made of shorter pieces that
+    many of them share. Pieces and their ids are kept in flat arrays, up to KEPT_BYTES.
     """
 
     def __init__(self, path: str) -> None:
         self._tokenizer = _tokenizer(path)
         alone = {mark: self._tokenizer.encode(mark, add_special_tokens=False).ids for mark in MARKS}
         self._mark, self._mark_id = next(((m, x[0]) for m, x in alone.items() if len(x) == 1), (None, None))
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [x.content.encode().lower() for x in added]
+        steps = {name: getattr(self._tokenizer, name) for name in _STEPS}
+        self._pieced = {name: x and json.loads(x.__getstate__()) for name, x in steps.items()} == _STEPS
+        self._pieced &= all(x.content.isascii() and not x.normalized for x in added)
+        self._between = pa.scalar(f" {self._mark} ", pa.large_string())
         self._clear()
 
     def _clear(self) -> None:
         self._kept = pa.array([], pa.large_binary())
         self._kept_ids, self._ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self._last = np.empty(0, np.int64)
+
+    def _kept_bytes(self) -> int:
+        return self._kept.nbytes + self._kept_ids.nbytes + self._ends.nbytes
+
+    def _shorten(self) -> None:
+        """Keeps what the last call used, or nothing if that is much."""
+        last, self._last = self._last, np.arange(len(self._last))
+        self._kept_ids, self._ends = _joined(self._kept_ids, self._ends, last)
+        self._kept = self._kept.take(pa.array(last))
+        if self._kept_bytes() > KEPT_BYTES // 2:
+            self._clear()
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words among the kept ones; new words are encoded and kept."""
-        if self._kept.nbytes + self._kept_ids.nbytes + self._ends.nbytes > KEPT_BYTES:
-            self._clear()
+        if self._kept_bytes() > KEPT_BYTES:
+            self._shorten()
         place = pc.index_in(words, value_set=self._kept)
         fresh = place.is_null()
         new, place = words.filter(fresh), place.fill_null(0).to_numpy().astype(np.int64)
         if len(new):
-            ids, sizes = self._words(new.cast(pa.large_string()).to_pylist())
+            ids, sizes = self._words(new)
             place[fresh.to_numpy(zero_copy_only=False)] = np.arange(len(new)) + len(self._kept)
-            self._ends = np.concatenate((self._ends, self._ends[-1] + np.cumsum(sizes)))
-            self._kept_ids = np.concatenate((self._kept_ids, ids))
-            self._kept = pa.concat_arrays([self._kept, new])
+            ends = np.concatenate((self._ends, self._ends[-1] + np.cumsum(sizes)))
+            # All at once: the worker's next task takes them as they are.
+            self._kept, self._kept_ids, self._ends = (
+                pa.concat_arrays([self._kept, new]),
+                np.concatenate((self._kept_ids, ids)),
+                ends,
+            )
+        self._last = place
         return place
 
+    def _pieces(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of words as places among the distinct ones, and how many each word has.
+
+        A letter before other than ASCII stays as it is: together they may be one character.
+        """
+        data, starts = buffers(words)
+        kind = _KIND[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+        cut[starts] = True
+        lower = (data - 0x41 < 26) & (cut[1:] | np.append(data[1:] < 0x80, True))
+        data = data + (lower.view(np.uint8) << 5)
+        every = data.tobytes().lower()
+        if any(x in every for x in self._added):  # the library finds it before it lowers and cuts
+            return words.dictionary_encode(), np.ones(len(words), np.int64)
+        bounds = np.flatnonzero(cut)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+        )
+        return pieces.dictionary_encode(), np.diff(np.searchsorted(bounds, starts))
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words in order, and where those of each word end, after a 0."""
+        if not (self._pieced and len(words)):
+            place = self._places(words)
+            return _joined(self._kept_ids, self._ends, place)
+        pieces, counts = self._pieces(words)
+        place = self._places(pieces.dictionary)[pieces.indices.to_numpy()]
+        ids, ends = _joined(self._kept_ids, self._ends, place)
+        return ids, ends[np.concatenate(([0], np.cumsum(counts)))]
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some words, and the number of ids of each.
 
-        The library takes words faster in lines, each followed by a mark of one id. A line with
+        The library takes words faster in lines, with a mark of one id between two. A line with
         more of these ids than marks holds the mark in a word, and its words are encoded one by one.
         """
+        words = words.cast(pa.large_string())
         ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for at in range(0, len(words), CALL_WORDS):
-            lines = [words[i : i + LINE_WORDS] for i in range(at, min(at + CALL_WORDS, len(words)), LINE_WORDS)]
-            found = self._ids(["".join([f"{w} {self._mark} " for w in line]) for line in lines]) if self._mark else lines
-            for line, own in zip(lines, found, strict=True):
+            call = words[at : at + CALL_WORDS]
+            cuts = [*range(0, len(call), LINE_WORDS), len(call)]
+            lines = pc.binary_join(pa.ListArray.from_arrays(cuts, call), self._between).to_pylist()
+            found = self._ids(lines) if self._mark else lines
+            for first, last, own in zip(cuts, cuts[1:], found, strict=False):
                 if self._mark:
                     own = np.array(own, np.uint32)
-                    ends = np.flatnonzero(own == self._mark_id)
-                    if len(ends) == len(line):
-                        ids.append(own[own != self._mark_id])
+                    marks = own == self._mark_id
+                    ends = np.append(np.flatnonzero(marks), len(own))
+                    if len(ends) == last - first:
+                        ids.append(own[~marks])
                         sizes.append(np.diff(ends, prepend=-1) - 1)
                         continue
-                single = self._ids(line)
+                single = self._ids(call[first:last].to_pylist())
                 sizes.append(np.array([len(x) for x in single], np.int64))
                 ids.append(np.fromiter((i for x in single for i in x), np.uint32))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the number of ids of each text."""
+    @staticmethod
+    def _found(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of a slice as places among its distinct ones, and how many each text has."""
         data, starts = buffers(texts)
         begins, ends, counts = word_bounds(data, starts)
         if not len(begins):
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+            return pa.array([], pa.large_binary()).dictionary_encode(), counts
         # Words and the gaps between them by turns, so that Arrow finds equal words where they lie.
         bounds = np.stack((begins, ends), axis=1).ravel()
         turns = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]
         )
-        found = turns.take(pa.array(np.arange(0, len(turns), 2))).dictionary_encode()
-        place = self._places(found.dictionary)[found.indices.to_numpy()]
-        starts, sizes = self._ends[place], self._ends[place + 1] - self._ends[place]
-        stops = np.cumsum(sizes)
-        out = self._kept_ids[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1])]
-        cuts = np.concatenate(([0], np.cumsum(counts)))
-        return out, np.diff(np.concatenate(([0], stops))[cuts])
+        return turns.take(pa.array(np.arange(0, len(turns), 2))).dictionary_encode(), counts
+
+    def encoded(self, columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice of the texts all ids in order, and the number of ids of each text.
+
+        The distinct words of all slices are looked up once, not by each slice among all kept ones.
+        """
+        found = [
+            self._found(texts[first:last])
+            for texts in columns
+            for first, last in slices(*buffers(texts), SLICE_BYTES)
+        ]
+        if not found:
+            return
+        words = pa.concat_arrays([own.dictionary for own, _ in found]).dictionary_encode()
+        word_ids, word_ends = self._word_ids(words.dictionary)
+        place, at = words.indices.to_numpy(), 0
+        for own, counts in found:
+            here = place[at : at + len(own.dictionary)][own.indices.to_numpy()]
+            at += len(own.dictionary)
+            out, stops = _joined(word_ids, word_ends, here)
+            yield out, np.diff(stops[np.concatenate(([0], np.cumsum(counts)))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the number of ids of each text."""
+        parts = list(self.encoded([texts])) or [(np.empty(0, np.uint32), np.zeros(0, np.int64))]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([sizes for _, sizes in parts])
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of a worker: its tasks go on with the words of those before."""
+    return WordEncoder(path)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches side by side, of about CHUNK_BYTES of text together."""
+    held, size = [], 0
+    for batch in batches:
+        own = batch.column("text").nbytes
+        if held and size + own > CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += own
+    if held:
+        yield held
 
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, part = WordEncoder(path), 0, None
+        encoder, block, part = _encoder(path), 0, None
         docs, lengths, ids, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -224,20 +368,21 @@ def _encoded(path: str, end_id: int):
             block, docs, lengths, ids, held = block + 1, [], [], [], 0
             return row
 
-        for batch in batches:
-            texts, keys = batch.column("text").fill_null(""), batch.column("doc_id").to_pylist()
-            if len(keys):
-                part = batch.column("part")[0].as_py()
-            for first, last in slices(*buffers(texts), SLICE_BYTES):
-                flat, sizes = encoder.encode(texts[first:last])
-                stops = np.cumsum(sizes)
-                for key, stop, size in zip(keys[first:last], stops.tolist(), sizes.tolist(), strict=True):
-                    if held and held + size + 1 > BLOCK_IDS:
+        for chunk in _chunks(batches):
+            part = chunk[0].column("part")[0].as_py()
+            keys = iter([key for batch in chunk for key in batch.column("doc_id").to_pylist()])
+            pa.default_memory_pool().release_unused()
+            for flat, sizes in encoder.encoded([batch.column("text").fill_null("") for batch in chunk]):
+                flat = np.insert(flat, np.cumsum(sizes), end_id)
+                at = 0
+                for size in (sizes + 1).tolist():
+                    if held and held + size > BLOCK_IDS:
                         yield closed()
-                    docs.append(key)
-                    lengths.append(size + 1)
-                    ids.append(np.append(flat[stop - size : stop], np.uint32(end_id)))
-                    held += size + 1
+                    docs.append(next(keys))
+                    lengths.append(size)
+                    ids.append(flat[at : at + size])
+                    at += size
+                    held += size
         if docs:
             yield closed()
 

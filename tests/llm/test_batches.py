@@ -79,3 +79,34 @@ def test_block_reads_many_and_few_places_alike():
     assert (block.ids(np.arange(len(ids))) == ids).all()
     places = np.array([0, 7, 511, 512, 513, 4_999, 2_048])
     assert (block.ids(places) == ids[places]).all()
+
+
+def test_tasks_of_a_worker_encode_a_word_once(monkeypatch):
+    encode, seen = token_codes.WordEncoder._words, []
+    monkeypatch.setattr(
+        token_codes.WordEncoder, "_words", lambda self, new: seen.extend(map(str, new)) or encode(self, new)
+    )
+    forms = [w for i in range(300) for w in (f"zq{i}v", f"ZQ{i}v.", f"(Zq{i}V)", f"zq{i}v,zq{i}v")]
+    texts = [" ".join(forms[at : at + 100]) for at in range(0, len(forms), 100)]
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([0] * 12, pa.int32()), "doc_id": range(12), "text": texts})
+    run = token_codes._encoded(public_tokenizers.path(TOKENIZER), 1)
+    first, again = list(run(iter([batch, batch]))), list(run(iter([batch])))
+    assert sum(b.num_rows for b in first) == sum(b.num_rows for b in again) == 1
+    # zq, v, 300 numbers and four kinds of signs; before, 1,200 words in each of two tasks.
+    assert len(seen) == len(set(seen)) <= 306
+
+
+def test_encoder_cuts_only_where_the_tokenizer_does(monkeypatch):
+    path = public_tokenizers.path(TOKENIZER)
+    plain, encoder, dice = Tokenizer.from_file(path), token_codes.WordEncoder(path), np.random.default_rng(11)
+    assert encoder._pieced
+    signs = [*"aAhHtTsSrReElLmMiI", *"'''.,!<>=\"|#$", *"012", *" \t\n\x0b", *"éÉñßİΣς中文가²½…’", "̱", "́", "̸"]
+    signs += ["'RE", "'ll", "K", " ", "\u0085", "\x1c", "\x00", "\x7f", "٣"]
+    for added in ([], ["<|endoftext|>", "<|ENDOFTEXT|>"]):
+        for kept in (token_codes.KEPT_BYTES, 3_000, 0):
+            monkeypatch.setattr(token_codes, "KEPT_BYTES", kept)
+            texts = ["".join(dice.choice(signs + added, dice.integers(0, 40))) for _ in range(600)]
+            ids, sizes = encoder.encode(pa.array(texts, pa.large_string()))
+            want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+            assert sizes.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
