@@ -7,20 +7,27 @@ any partitioning. Scores are ordered across range partitions; no task sees a who
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartweave.functions.hashes import md5_numbers
 from chartweave.operators.running import dense_ids, running_totals
+from chartweave.operators.shared_storage import write_through
 
 #: Precision at one score is kept as this many parts of 1, rounded down.
 PRECISION_PARTS = 10**15
 REPLICATES, SEED = 1000, 42
 INTERVAL = (0.025, 0.975)
 ONE_CLASS = "one class"
+#: Draws of one replicate that are counted at once, and draws of a task, about.
+COUNTED_DRAWS, TASK_DRAWS = 1 << 23, 1 << 25
+#: Counts of draws that a task holds as a table of replicates and groups, and bytes of a batch of them.
+TABLE_BYTES, BATCH_BYTES = 1 << 25, 1 << 22
+#: Rows of one score whose draws are added at once.
+ADDED_ROWS = 4096
 
 
 def _wide(column: Column | str) -> Column:
@@ -173,36 +180,182 @@ def positive_weight(labels: DataFrame, label: str = "label", by: Sequence[str] =
     return counts.withColumn("weight", weight)
 
 
-def _draws(seed: int, groups: int):
-    """Arrow batches of draw ids to (replicate, number): a hash of seed, replicate and draw, so any task repeats it.
+def _counted_draws(seed: int, groups: int, block: int):
+    """Arrow batches of unit ids to (block, replicate, counts): how often a unit draws each number of a block.
 
-    The number is that of the first 15 digits of the MD5 text, modulo the groups.
+    A unit is ``COUNTED_DRAWS`` draws of one replicate. A draw is a hash of seed, replicate and its place, so any
+    task repeats it: the first 15 digits of the MD5 text, modulo the groups. Counts are as narrow as the highest asks.
     """
+    at_once = COUNTED_DRAWS
+    units = -(-groups // at_once)
+    starts = np.arange(-(-groups // block) + 1, dtype=np.uint64) * np.uint64(block)
+    width = np.uint32 if int(starts[-1]) < 2**32 else np.uint64
+    starts = starts.astype(width)
+
+    def counted(replicate: int, unit: int) -> Iterator[pa.RecordBatch]:
+        first = unit * at_once
+        numbers = np.empty(min(at_once, groups - first), width)
+        filled = 0
+        for hashes in md5_numbers(b"%d:%d:" % (seed, replicate), first, first + len(numbers)):
+            numbers[filled : filled + len(hashes)] = hashes % np.uint64(groups)
+            filled += len(hashes)
+        numbers.sort()
+        edges = np.searchsorted(numbers, starts)
+        drawn = np.flatnonzero(np.diff(edges))
+        for some in np.array_split(drawn, -(-len(drawn) * block // BATCH_BYTES)):
+            counts = [
+                np.bincount((numbers[edges[i] : edges[i + 1]] - starts[i]).astype(np.int64), minlength=block) for i in some
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some.astype(np.int64)),
+                    pa.array(np.full(len(some), replicate, np.int32)),
+                    pa.array([_packed(c) for c in counts], pa.binary()),
+                ],
+                names=["block", "replicate", "counts"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            replicates, draws = np.divmod(batch.column("id").to_numpy(), groups)
-            digests = b"".join(
-                [md5(b"%d:%d:%d" % (seed, r, d), usedforsecurity=False).digest() for r, d in zip(replicates.tolist(), draws.tolist())]
-            )
-            numbers = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64) % groups
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(replicates.astype(np.int32)), pa.array(numbers, pa.int64())], names=["replicate", "number"]
-            )
+            for number in batch.column("id").to_pylist():
+                yield from counted(*divmod(number, units))
+
+    return run
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _unpacked(counts: bytes | pa.Buffer, length: int) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(counts) // length}")
+
+
+def _numbered_draws(block: int):
+    """Counts of a block to (number, replicate, times), one row for each number that is drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, replicate, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "replicate", "counts"))):
+                times = _unpacked(counts, block)
+                drawn = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(drawn + at * block),
+                        pa.array(np.full(len(drawn), replicate, np.int32)),
+                        pa.array(times[drawn].astype(np.int64)),
+                    ],
+                    names=["number", "replicate", "times"],
+                )
 
     return run
 
 
-def drawn_times(spark: SparkSession, replicates: int, groups: int, seed: int = SEED) -> DataFrame:
+def drawn_times(spark: SparkSession, replicates: int, groups: int, seed: int = SEED, block: int = 0) -> DataFrame:
     """``(number, replicate, times)``: how often each replicate draws each group, if it does.
 
-    Draws are dealt by group once; counts and a join on the group follow without moving them again.
-    A group is drawn about once a replicate, so none is hot.
+    Draws are counted where they are hashed, and their counts dealt by group once. With ``block``, groups stay packed:
+    ``(block, replicate, counts)``, a number for each of so many neighbouring groups; rows of one block and
+    replicate add up. A group is drawn about once a replicate, so none is hot.
+    """
+    units = replicates * -(-groups // COUNTED_DRAWS)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-replicates * groups // TASK_DRAWS))
+    size = block or max(1, min(groups, BATCH_BYTES))
+    ids = spark.range(0, units, 1, max(1, min(units, tasks)))
+    packed = ids.mapInArrow(_counted_draws(seed, groups, size), "block bigint, replicate int, counts binary")
+    if block:
+        return packed
+    draws = packed.mapInArrow(_numbered_draws(size), "number bigint, replicate int, times bigint")
+    return draws.repartition("number").groupBy("number", "replicate").agg(F.sum("times").alias("times"))
+
+
+def _drawn_rows(replicates: int, block: int):
+    """Rows sorted by block, counts of draws first, then scores and labels, to (score, label, counts).
+
+    ``counts`` has a number for each replicate: how often the rows of that score and label are drawn. Those of
+    other blocks have to be added. A task holds the counts of one block and one batch of rows.
     """
-    draws = spark.range(replicates * groups).mapInArrow(_draws(seed, groups), "replicate int, number bigint")
-    return draws.repartition("number").groupBy("number", "replicate").agg(F.count(F.lit(1)).alias("times"))
+
+    def added(table: np.ndarray, replicate: int, counts: np.ndarray) -> np.ndarray:
+        total = table[replicate] + counts.astype(np.int64)
+        table = table.astype(np.promote_types(table.dtype, np.min_scalar_type(int(total.max()))), copy=False)
+        table[replicate] = total
+        return table
+
+    def drawn(table: np.ndarray, members: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        total = np.zeros(replicates, np.int64)
+        for at in range(0, len(members), ADDED_ROWS):
+            taken, times = table[members[at : at + ADDED_ROWS]], rows[at : at + ADDED_ROWS]
+            total += taken.sum(axis=0, dtype=np.uint32 if taken.itemsize < 4 else np.int64)
+            more = times > 1
+            if more.any():
+                total += (times[more] - 1) @ taken[more].astype(np.int64)
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = table = None
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            for start, stop in _runs(blocks):
+                part = batch.slice(start, stop - start)
+                if held != blocks[start]:
+                    held, table, by_member = blocks[start], np.zeros((replicates, block), np.uint8), None
+                counted = part.num_rows - part.column("replicate").null_count
+                for replicate, counts in zip(part.column("replicate").to_pylist()[:counted], part.column("counts")):
+                    table = added(table, replicate, _unpacked(counts.as_buffer(), block))
+                part = part.slice(counted)
+                if not part.num_rows:
+                    continue
+                if by_member is None:
+                    table, by_member = None, np.ascontiguousarray(table.T)
+                scores, labels = part.column("score"), part.column("label")
+                members, rows = (part.column(c).to_numpy() for c in ("member", "rows"))
+                values = scores.to_numpy(zero_copy_only=False).view(np.int64)
+                runs = list(_runs(values, labels.fill_null(-1).to_numpy()))
+                firsts = pa.array([first for first, _ in runs], pa.int64())
+                totals = [_packed(drawn(by_member, members[i:j], rows[i:j])) for i, j in runs]
+                yield pa.RecordBatch.from_arrays(
+                    [scores.take(firsts), labels.take(firsts), pa.array(totals, pa.binary())], names=["score", "label", "counts"]
+                )
+
+    return run
+
+
+def _runs(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    changed = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
+    edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(keys[0])]
+    return zip(edges[:-1], edges[1:])
+
+
+def _added_rows(replicates: int):
+    """Rows (score, label, counts) sorted by score and label to (replicate, score, label, times), if drawn."""
+
+    def spread(score: float | None, label: int | None, total: np.ndarray) -> pa.RecordBatch:
+        drawn = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(drawn.astype(np.int32)),
+                pa.array([score] * len(drawn), pa.float64()),
+                pa.array([label] * len(drawn), pa.int32()),
+                pa.array(total[drawn]),
+            ],
+            names=["replicate", "score", "label", "times"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = total = None
+        for batch in batches:
+            for *key, counts in zip(*(batch.column(c).to_pylist() for c in ("score", "label", "counts"))):
+                if key != held:
+                    if held is not None:
+                        yield spread(*held, total)
+                    held, total = key, np.zeros(replicates, np.int64)
+                total += _unpacked(counts, replicates)
+        if held is not None:
+            yield spread(*held, total)
+
+    return run
 
 
 def resampled_metrics(
@@ -217,29 +370,41 @@ def resampled_metrics(
 
     All rows of a group come as often as it was drawn. Groups are numbered in ascending order of
     ``group``; rows without a group are left out. An empty table gives an empty result.
+
+    Groups are dealt in blocks of neighbouring numbers, which meet the draws of all replicates as one table.
+    Only sums for each score and label leave a block, so rows times replicates are never a table.
     """
     spark = predictions.sparkSession
-    rows = predictions.where(F.col(group).isNotNull())
-    numbered = dense_ids(rows.select(F.col(group).alias("member")).distinct(), [F.col("member")], "number")
+    rows = predictions.where(F.col(group).isNotNull()).withColumnRenamed(group, "member")
+    # Scores of a group are counted first, so a group with many rows is dealt as few.
+    counted = write_through(score_counts(rows, score, label, ["member"]), "counted")
+    numbered = dense_ids(counted.select("member").distinct(), [F.col("member")], "number")
     groups = numbered.count()
-    if not groups:
+    if not groups or not replicates:
         return ranking_metrics(
             predictions.where(F.lit(False)).select(F.lit(0).alias("replicate"), score, label), score, label, ["replicate"]
         )
-    times = drawn_times(spark, replicates, groups, seed)
-    # Scores of a group are counted first, so a group with many rows is joined as few.
-    counted = score_counts(rows.withColumnRenamed(group, "member"), score, label, ["member"])
-    counted = counted.join(numbered, "member").drop("member")
+    block = max(1, min(groups, TABLE_BYTES // replicates))
+    times = drawn_times(spark, replicates, groups, seed, block)
     outcomes = F.array(
         *[
             F.struct(F.lit(value).alias("label"), F.col(name).alias("rows"))
             for name, value in (("positives", 1), ("negatives", 0), ("unusable", None))
         ]
     )
-    flat = counted.select("number", "score", F.explode(outcomes).alias("of")).where("of.rows > 0")
-    drawn = flat.join(times, "number").select(
-        "replicate", "score", F.col("of.label").alias("label"), (F.col("of.rows") * F.col("times")).alias("times")
+    flat = counted.join(numbered, "member").select("number", "score", F.explode(outcomes).alias("of")).where("of.rows > 0")
+    flat = flat.select(
+        F.expr(f"number div {block}").alias("block"),
+        (F.col("number") % block).alias("member"),
+        "score",
+        F.col("of.label").alias("label"),
+        F.col("of.rows").alias("rows"),
     )
+    met = times.unionByName(flat, allowMissingColumns=True).repartition("block")
+    met = met.sortWithinPartitions("block", F.col("replicate").asc_nulls_last(), "score", "label")
+    drawn = met.mapInArrow(_drawn_rows(replicates, block), "score double, label int, counts binary")
+    drawn = drawn.repartition("score", "label").sortWithinPartitions("score", "label")
+    drawn = drawn.mapInArrow(_added_rows(replicates), "replicate int, score double, label int, times bigint")
     return ranking_metrics(drawn, "score", "label", ["replicate"], "times")
 
 

@@ -7,9 +7,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chartweave.functions import hashes
 from chartweave.operators import metrics, running, splits
 
 SCHEMA = "stay long, patient string, site int, label int, score double, part string"
@@ -157,6 +160,68 @@ def test_bootstrap_counts_replicates_of_one_class(spark):
     assert metrics.bootstrap_intervals(none, "patient").collect() == []
 
 
+def test_hashes_of_numbers(monkeypatch):
+    for prefix in (b"", b"4", b"42:7:", b"-42:17:", b"42:177:", b"42:1776:", b"x" * 48, b"x" * 52):
+        for start, stop in ((0, 1), (0, 130), (5, 5), (95, 1234), (99_990, 100_020), (1_234_567, 1_234_600), (10**11 - 1, 10**11 + 5)):
+            wanted = [int(hashlib.md5(prefix + b"%d" % i).hexdigest()[:15], 16) for i in range(start, stop)]
+            for texts in (20_000, 33):
+                monkeypatch.setattr(hashes, "BLOCK_TEXTS", texts)
+                assert [n for found in hashes.md5_numbers(prefix, start, stop) for n in found.tolist()] == wanted
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Blocks of five patients, several units of draws a replicate, short batches."""
+    for name, value in (("TABLE_BYTES", 200), ("COUNTED_DRAWS", 7), ("TASK_DRAWS", 50), ("BATCH_BYTES", 10), ("ADDED_ROWS", 2)):
+        monkeypatch.setattr(metrics, name, value)
+
+
+def test_bootstrap_in_blocks(spark, small_blocks):
+    rows = invented(9, 80)
+    rows += [(100 + i, "p1", 1, 1, 0.5, "x") for i in range(9)]  # one score several times
+    patients = sorted({r[1] for r in rows if r[1]})
+    wanted = {}
+    for replicate, times in enumerate(brute_draws(patients, 40, 7)):
+        own = [r for r in rows if r[1] for _ in range(times[r[1]])]
+        pairs = usable(own)
+        positives = sum(label for _, label in pairs)
+        wanted[replicate] = (positives, len(pairs) - positives, len(own) - len(pairs), brute_auroc(pairs))
+    found = metrics.resampled_metrics(spark.createDataFrame(rows, SCHEMA).repartition(4), "patient", replicates=40, seed=7).collect()
+    assert {r.replicate: (r.positives, r.negatives, r.unusable, r.auroc) for r in found} == wanted
+    drawn = {(r.replicate, patients[r.number]): r.times for r in metrics.drawn_times(spark, 40, len(patients), 7).collect()}
+    assert drawn == {(i, p): n for i, times in enumerate(brute_draws(patients, 40, 7)) for p, n in times.items()}
+
+
+def test_bootstrap_adds_rows_before_they_leave_a_block(spark, monkeypatch):
+    rows = [(i, f"p{i}", 1, i % 2, 0.5, "x") for i in range(200)]
+    ranked, met = metrics.ranking_metrics, []
+
+    def ranking(frame, *given):
+        met.append(frame.count())
+        return ranked(frame, *given)
+
+    monkeypatch.setattr(metrics, "ranking_metrics", ranking)
+    assert metrics.resampled_metrics(spark.createDataFrame(rows, SCHEMA), "patient", replicates=20).count() == 20
+    assert met == [40]  # two labels of one score in each replicate, not each patient's row
+
+
+def test_counts_of_draws_have_the_width_they_need():
+    schema = pa.schema(
+        [("block", pa.int64()), ("replicate", pa.int32()), ("counts", pa.binary()), ("member", pa.int64())]
+        + [("score", pa.float64()), ("label", pa.int32()), ("rows", pa.int64())]
+    )
+    rows = [(3, 0, bytes([1, 200])), (3, 0, bytes([0, 100])), (3, 1, np.array([0, 70_000], np.uint32).tobytes())]
+    rows = [(*r, None, None, None, None) for r in rows]
+    rows += [(3, None, None, 0, None, None, 5), (3, None, None, 0, 0.5, 0, 1), (3, None, None, 1, 0.5, 0, 2)]
+    rows += [(4, 1, bytes([1, 2]), None, None, None, None), (4, None, None, 1, 0.5, 0, 1)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i : i + 5]], schema) for i in (0, 5)]
+    found = [r for batch in metrics._drawn_rows(2, 2)(iter(batches)) for r in batch.to_pylist()]
+    totals = [(r["score"], r["label"], metrics._unpacked(r["counts"], 2).tolist()) for r in found]
+    assert totals == [(None, None, [5, 0]), (0.5, 0, [1, 0]), (0.5, 0, [600, 140_000]), (0.5, 0, [0, 2])]
+    spread = [tuple(r.values()) for b in metrics._added_rows(2)(iter([pa.RecordBatch.from_pylist(found)])) for r in b.to_pylist()]
+    assert spread == [(0, None, None, 5), (0, 0.5, 0, 601), (1, 0.5, 0, 140_002)]
+
+
 def brute_split(rows, seed):
     groups = defaultdict(list)
     for r in rows:
