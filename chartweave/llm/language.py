@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chartweave.llm.shared import ROW_KEY, dropping, identified, located, packed, write_batched
+from chartweave.llm.shared import ROW_KEY, dropping, identified, located, packed, short_batches
 from chartweave.llm.word_sets import buffers
+from chartweave.operators.shared_storage import write_through
 
 # Families of common language codes; a code that isn't here is its own family.
 FAMILIES = {
@@ -197,13 +198,10 @@ def fit_language_model(docs: DataFrame, text: str, lang: str, usable: Column | N
     if langs:
         few = few.where(F.col("rank") <= F.element_at(share, F.col("lang")))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    sample = write_batched(
-        few.mapInArrow(_weights, "lang string, rank double, weights array<float>")
-        .dropDuplicates(["lang", "rank"])
-        .withColumn("place", first)
-        .where(F.col("place") <= rows_each),
-        "language-sample",
-    )
+    sample = few.mapInArrow(_weights, "lang string, rank double, weights array<float>").dropDuplicates(["lang", "rank"])
+    sample = sample.withColumn("place", first).where(F.col("place") <= rows_each)
+    with short_batches(docs.sparkSession):
+        sample = write_through(sample, "language-sample")
     langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     by_family: dict[str, list[str]] = {}
     for g in langs:
